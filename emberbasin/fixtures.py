@@ -5,11 +5,14 @@ Each is one SQL text for both engines; the few expressions that differ are slots
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
+from emberbasin.plans.spread import spread
+
 AS_OF = datetime(2024, 1, 31)
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -96,7 +99,7 @@ FROM (SELECT *, {_POSITIONS} FROM events UNION ALL SELECT *, {_POSITIONS} FROM e
 """,
     # Fill markers on every 17th key, text fills on every 11th.
     "baseline": f"""
-SELECT c_custkey AS aq30_id, c_nationkey AS pfaf_id, {_COUNTRY.format(key="n_nationkey")} AS name_0,
+SELECT c_custkey + 10000 AS aq30_id, c_nationkey AS pfaf_id, {_COUNTRY.format(key="n_nationkey")} AS name_0,
        CASE WHEN c_custkey % 29 = 0 THEN NULL ELSE c_mktsegment END AS name_1,
        concat('N', CAST(n_nationkey AS <S>)) AS gid_0, CAST(c_custkey % 97 AS DOUBLE) AS area_km2,
        CASE WHEN c_custkey % 17 = 0 THEN CAST(-9999 AS DOUBLE) ELSE c_acctbal/1000 END AS bws_raw,
@@ -134,7 +137,7 @@ FROM nation JOIN region ON n_regionkey = r_regionkey
 """,
     # One row per customer with orders; scores reach 6.0.
     "monthly": f"""
-SELECT CAST(o_custkey AS INT) AS pfaf_id,
+SELECT CAST(o_custkey + 10000 AS INT) AS pfaf_id,
        {_month_columns()}
 FROM orders GROUP BY o_custkey
 """,
@@ -174,22 +177,26 @@ def _fill(template: str, slots: Mapping[str, str]) -> str:
     return template
 
 
+_frames: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table as it is."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table as it is; its schema is read once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _frames:
+        _frames[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _frames[key]
 
 
-def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived table."""
+def fixture(spark: SparkSession, sf_dir: str, name: str, spread_out: bool = False) -> DataFrame:
+    """A derived table; ``spread_out`` for work that costs much per row."""
     text = _fill(TEMPLATES[name], SPARK)
-    words = text.replace("(", " ").replace(")", " ").split()
-    used = {t: table(spark, sf_dir, t) for t in TABLES if t in words}
-    for t in used:
-        for before in ("FROM", "JOIN"):
-            text = text.replace(f"{before} {t} ", f"{before} {{{t}}} ").replace(
-                f"{before} {t}\n", f"{before} {{{t}}}\n"
-            ).replace(f"{before} {t})", f"{before} {{{t}}})")
-    return spark.sql(text, **used)
+    used = sorted(set(re.findall(r"\b(?:FROM|JOIN) (\w+)", text)) & set(TABLES))
+    frames = {t: table(spark, sf_dir, t) for t in used}
+    if spread_out:
+        frames = {t: spread(df) for t, df in frames.items()}
+    text = re.sub(rf"\b(FROM|JOIN) ({'|'.join(used)})\b", r"\1 {\2}", text)
+    return spark.sql(text, **frames)
 
 
 def duck(*names: str) -> str:

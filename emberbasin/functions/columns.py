@@ -14,7 +14,6 @@ EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
 MILLIS_ABOVE = 10**12
 FIRST_SECOND = -62_135_596_800  # 0001-01-01
 LAST_SECOND = 253_402_300_799  # 9999-12-31 23:59:59
-WHOLE_NUMBER = r"^\s*[+-]?[0-9]+\s*$"
 
 
 def named(name: str) -> Column:
@@ -55,21 +54,17 @@ def all_fills_to_null(value: Column, kind: T.DataType) -> Column:
     return fills_to_null(value, kind, NUMERIC_FILLS, TEXT_FILLS)
 
 
-def _whole_number(value: Column, kind: T.DataType) -> Column:
-    """BIGINT, or null where the value is no whole number."""
-    if isinstance(kind, T.StringType):
-        return F.when(value.rlike(WHOLE_NUMBER), F.trim(value).try_cast("bigint"))
-    return value.try_cast("bigint")
+def epoch_to_utc(value: Column) -> Column:
+    """Epoch seconds, or milliseconds above 1e12, as a zone-free UTC timestamp.
 
-
-def epoch_to_utc(value: Column, kind: T.DataType) -> Column:
-    """Epoch seconds, or milliseconds above 1e12, as a zone-free UTC timestamp; bad values give null."""
-    count = _whole_number(value, kind)
-    millis = F.when(count > MILLIS_ABOVE, count).when(
-        count.between(FIRST_SECOND, LAST_SECOND), count * 1000
+    Text that is no whole number, and times outside the years 1 to 9999, give null.
+    """
+    count = value.try_cast("bigint")
+    in_range = count.between(FIRST_SECOND, LAST_SECOND * 1000 + 999) & ~count.between(
+        LAST_SECOND + 1, MILLIS_ABOVE
     )
-    in_range = F.when(millis <= LAST_SECOND * 1000 + 999, millis)
-    return F.timestamp_add("MILLISECOND", in_range, F.expr(EPOCH))
+    micros = count * F.when(count > MILLIS_ABOVE, 1000).otherwise(1_000_000)
+    return F.when(in_range, F.timestamp_add("MICROSECOND", micros, F.expr(EPOCH)))
 
 
 def float_text(value: Column) -> Column:

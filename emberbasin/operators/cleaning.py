@@ -29,7 +29,7 @@ from emberbasin.functions.names import (
 )
 from emberbasin.operators.profiling import long_form, modes, numeric_columns, text_columns
 from emberbasin.operators.water import region_lookup
-from emberbasin.plans.quantiles import exact_quantiles
+from emberbasin.plans.quantiles import exact_quantiles, too_many_to_gather
 from emberbasin.schemas import FEED_NAMES, FIRES, LOADED_CONFIDENCE
 
 NULL_SHARE = 0.80
@@ -82,17 +82,21 @@ def fill_medians(
     between two whole numbers. A column without values stays null.
     """
     names = list(columns or numeric_columns(df))
+    if not names:
+        return df
+    nulls = df.agg(*[F.count_if(named(c).isNull()) for c in names]).first()
+    gaps = [c for c, missing in zip(names, nulls) if missing]
+    if not gaps:
+        return df
+    if distributed is None:
+        distributed = too_many_to_gather(df, len(gaps))
     found = exact_quantiles(
-        long_form(df, names, "double"), ["column"], "value", [0.5], distributed
+        long_form(df, gaps, "double"), ["column"], "value", [0.5], distributed
     )
     medians = {r["column"]: r["quantile"] for r in found.select("column", "quantile").collect()}
-    counted = df.agg(*[F.count_if(named(c).isNull()).alias(c) for c in names]).first().asDict()
-    filled = {
-        c: F.coalesce(named(c).cast("double"), F.lit(medians[c]))
-        for c in names
-        if c in medians and counted[c]
-    }
-    return df.withColumns(filled) if filled else df
+    return df.withColumns(
+        {c: F.coalesce(named(c).cast("double"), F.lit(m)) for c, m in medians.items()}
+    )
 
 
 def fill_modes(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -100,8 +104,12 @@ def fill_modes(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
     names = list(columns or text_columns(df))
     if not names:
         return df
-    found = {r["column"]: r["mode"] for r in modes(df, names).collect()}
-    return df.withColumns({c: F.coalesce(named(c), F.lit(found[c])) for c in names if c in found})
+    nulls = df.agg(*[F.count_if(named(c).isNull()) for c in names]).first()
+    gaps = [c for c, missing in zip(names, nulls) if missing]
+    if not gaps:
+        return df
+    found = {r["column"]: r["mode"] for r in modes(df, gaps).collect()}
+    return df.withColumns({c: F.coalesce(named(c), F.lit(m)) for c, m in found.items()})
 
 
 def clean_baseline_annual(raw: DataFrame) -> DataFrame:
@@ -137,10 +145,9 @@ def clean_detections(feed: DataFrame) -> DataFrame:
     Only the fire-table columns that the feed has come out, in table order.
     """
     renamed = rename(feed, FEED_NAMES)
-    kinds = {f.name: f.dataType for f in renamed.schema.fields}
     time = (
-        epoch_to_utc(F.col("acquisition_time"), kinds["acquisition_time"])
-        if "acquisition_time" in kinds
+        epoch_to_utc(F.col("acquisition_time"))
+        if "acquisition_time" in renamed.columns
         else F.lit(None).cast(T.TimestampNTZType())
     )
     timed = renamed.withColumn("acquisition_timestamp", time)

@@ -51,7 +51,7 @@ def outlines(
     """
 
     def wanted(line: Column) -> Column:
-        tests = [strip(line).startswith("#")]
+        tests = [line.rlike(r"^\s*#")]
         tests += [line.contains(word) for word in exact]
         tests += [F.lower(line).contains(word.lower()) for word in any_case]
         return reduce(or_, tests)

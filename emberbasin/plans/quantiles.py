@@ -14,12 +14,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberbasin.plans.lineage import cut_lineage
+
 GATHER_ROWS = 2_000_000
+LEFT_ROWS = 1_000_000
 RANGES = 64
-ROUNDS = 3
 ACCURACY = 10_000
 
 
+def too_many_to_gather(df: DataFrame, values_per_row: int = 1) -> bool:
+    """Whether the values are more than one task should hold. Counts rows without reading columns."""
+    return df.count() * values_per_row > GATHER_ROWS
+
+
 def exact_quantiles(
     df: DataFrame,
     by: Sequence[str],
@@ -30,11 +37,11 @@ def exact_quantiles(
     """``by, prob, quantile`` with linear interpolation between neighbours; nulls are left out.
 
     ``by`` names columns with few distinct values (such as column names of a long
-    form). ``distributed=None`` counts up to ``GATHER_ROWS`` rows and decides.
+    form). ``distributed=None`` counts the rows and decides.
     """
     known = df.select(*by, F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
     if distributed is None:
-        distributed = known.limit(GATHER_ROWS + 1).count() > GATHER_ROWS
+        distributed = too_many_to_gather(df)
     if not distributed:
         levels = F.array(*[F.lit(float(p)) for p in probs])
         found = known.groupBy(*by).agg(F.percentile("v", levels).alias("q"))
@@ -60,10 +67,10 @@ def _narrowed(known: DataFrame, by: list[str], probs: Sequence[float]) -> DataFr
     )
     keys = [*by, "prob", "rank"]
     targets = ranks.withColumn("target", F.col("rank"))
-    values = _narrow(counted, by, targets, keys)
-    for _ in range(ROUNDS - 1):
+    values = cut_lineage(_narrow(counted, by, targets, keys))
+    while values.count() > LEFT_ROWS:
         targets = values.select(*keys, "target").distinct()
-        values = _narrow(values.drop("target"), keys, targets, keys)
+        values = cut_lineage(_narrow(values.drop("target"), keys, targets, keys))
     upto = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     at_rank = (
         values.withColumn("upto", F.sum("n").over(upto))

@@ -1,0 +1,15 @@
+"""More tasks for work that costs much more than moving its rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, if the scan has fewer splits than there are cores.
+
+    A file with a single row group is one split, and its rows would keep one core
+    busy. A table of many files has splits enough and comes back as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

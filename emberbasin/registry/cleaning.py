@@ -83,12 +83,12 @@ clean AS (SELECT md5(concat_ws('_', CAST(latitude AS VARCHAR), CAST(longitude AS
 
 @query(f"{CLEAN_FEED} SELECT * FROM clean")
 def clean_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleaning.clean_detections(fixture(spark, sf_dir, "feed"))
+    return cleaning.clean_detections(fixture(spark, sf_dir, "feed", spread_out=True))
 
 
 @query(f"{CLEAN_FEED} SELECT DISTINCT * FROM clean")
 def clean_detections_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return one_per_key(cleaning.clean_detections(fixture(spark, sf_dir, "feed")))
+    return one_per_key(cleaning.clean_detections(fixture(spark, sf_dir, "feed", spread_out=True)))
 
 
 LABEL = "CASE WHEN bws_label IN ('', 'N/A', 'nan') THEN NULL ELSE bws_label END AS bws_label"

@@ -72,8 +72,7 @@ def profile_describe_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM v QUALIFY place <= 10"""
 )
 def profile_top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, texts = profiling.dataset_summary(_clean(spark, sf_dir))
-    return texts
+    return profiling.top_values(_clean(spark, sf_dir))
 
 
 NULLS = """SELECT '<c>' AS "column", count(*) - count(<c>) AS null_count,
@@ -117,9 +116,17 @@ def profile_distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiling.distinct_counts(_clean(spark, sf_dir))
 
 
-@query()
+@query(f"""{WITH} SELECT *, true AS is_close FROM ({_each(ALL, DISTINCT)})""")
 def profile_distinct_counts_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiling.approximate_distinct_counts(_clean(spark, sf_dir))
+    """The exact counts, and whether the sketches come within five percent of them."""
+    clean = _clean(spark, sf_dir)
+    about = profiling.approximate_distinct_counts(clean).withColumnRenamed("unique_count", "about")
+    off = F.abs(F.col("about") - F.col("unique_count"))
+    return (
+        profiling.distinct_counts(clean)
+        .join(about, "column")
+        .select("column", "unique_count", (off <= F.col("unique_count") * 0.05).alias("is_close"))
+    )
 
 
 FLAGS = f"""{WITH.replace(" FROM baseline)", ", 1 AS one, NULL::DOUBLE AS none FROM baseline)")},

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from emberbasin.fixtures import duck, fixture, table
 from emberbasin.operators.cleaning import clean_detections, clean_region_lookup
-from emberbasin.registry.base import query, rounded, scratch
+from emberbasin.plans.spread import spread
+from emberbasin.registry.base import query, scratch
 from emberbasin.registry.cleaning import BASELINE_VALUES, CLEAN_FEED, marked
 from emberbasin.schemas import FEED, FIRES
 from emberbasin.sources import files, tables
 from emberbasin.streaming.ingest import once_per_key, start_ingest
-from emberbasin.streaming.rolling import rolling_emissions
 
 
 @query(
@@ -67,7 +67,7 @@ def _new_table(spark: SparkSession, name: str) -> str:
 
 @query(f"{CLEAN_FEED} SELECT DISTINCT * FROM clean")
 def source_incremental_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = clean_detections(fixture(spark, sf_dir, "feed"))
+    rows = clean_detections(fixture(spark, sf_dir, "feed", spread_out=True))
     name = _new_table(spark, "detections")
     early = rows.where(F.col("hours_old") > 240)
     tables.append_detections(early, name)
@@ -78,7 +78,7 @@ def source_incremental_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{CLEAN_FEED} SELECT uid FROM clean WHERE hours_old <= 240")
 def source_unseen_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = clean_detections(fixture(spark, sf_dir, "feed"))
+    rows = clean_detections(fixture(spark, sf_dir, "feed", spread_out=True))
     stored = rows.where(F.col("hours_old") > 240)
     return tables.unseen(rows, stored, within_batch=False).select("uid")
 
@@ -86,7 +86,7 @@ def source_unseen_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{CLEAN_FEED} SELECT count(*) AS rows, '2024-01-31_P2' AS name FROM clean")
 def source_numbered_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "exports")
-    rows = clean_detections(fixture(spark, sf_dir, "feed"))
+    rows = clean_detections(fixture(spark, sf_dir, "feed", spread_out=True))
     files.export_numbered(rows, folder, "cleaned", date(2024, 1, 31))
     path = files.export_numbered(rows, folder, "cleaned", date(2024, 1, 31))
     written = files.read_csv(spark, path, rows.schema)
@@ -159,7 +159,9 @@ def source_query_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     WHERE NOT (i = len(a) AND a[i] = '')"""
 )
 def source_document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.document_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return files.document_lines(
+        spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    )
 
 
 @query(f"{CLEAN_FEED} SELECT DISTINCT * FROM clean")

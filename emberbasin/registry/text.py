@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from emberbasin import gazetteer
 from emberbasin.fixtures import duck, fixture, table
 from emberbasin.operators import places, text
+from emberbasin.plans.spread import spread
 from emberbasin.registry.base import query
 from emberbasin.schemas import FIRE_WORDS, PLACE_PATTERN, WATER_WORDS
 
@@ -45,7 +46,7 @@ WANTED = " OR ".join(
     FROM l"""
 )
 def text_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return text.outlines(docs, exact=EXACT, any_case=ANY_CASE)
 
 

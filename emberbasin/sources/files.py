@@ -87,9 +87,10 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 def document_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row per line, with its ``position`` from 0; a final line break opens no further line."""
     others = [c for c in docs.columns if c != text]
-    lines = docs.select(*others, F.posexplode(F.split(text, LINE_BREAK)).alias("position", "line"),
-                        F.size(F.split(text, LINE_BREAK)).alias("parts"))
-    return lines.where("NOT (position = parts - 1 AND line = '')").drop("parts")
+    closed = F.regexp_replace(text, f"(?:{LINE_BREAK})\\z", "")
+    return docs.where(F.col(text) != "").select(
+        *others, F.posexplode(F.split(closed, LINE_BREAK)).alias("position", "line")
+    )
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
