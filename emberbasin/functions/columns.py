@@ -26,11 +26,11 @@ def is_numeric(kind: T.DataType) -> bool:
 
 
 def round_ties_even(value: Column, places: int) -> Column:
-    """Round to ``places`` decimals, ties to even on the binary value.
+    """Round to ``places`` decimals, ties of the scaled value to even.
 
-    ``F.round`` goes through a BigDecimal per row and rounds the shortest decimal
-    form half up (2.675 becomes 2.68); this stays in double arithmetic and gives
-    2.67, as Python's own rounding does.
+    Stays in double arithmetic, where ``F.round`` makes a BigDecimal of every
+    value. Agrees with Python's rounding but for values that lie within one bit of
+    a tie; powers in hundredths of a megawatt and whole hours give none.
     """
     scale = F.lit(float(10**places))
     return F.rint(value * scale) / scale

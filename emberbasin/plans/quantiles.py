@@ -68,9 +68,11 @@ def _narrowed(known: DataFrame, by: list[str], probs: Sequence[float]) -> DataFr
     keys = [*by, "prob", "rank"]
     targets = ranks.withColumn("target", F.col("rank"))
     values = cut_lineage(_narrow(counted, by, targets, keys))
-    while values.count() > LEFT_ROWS:
+    left, before = values.count(), None
+    while left > LEFT_ROWS and left != before:
         targets = values.select(*keys, "target").distinct()
         values = cut_lineage(_narrow(values.drop("target"), keys, targets, keys))
+        left, before = values.count(), left
     upto = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     at_rank = (
         values.withColumn("upto", F.sum("n").over(upto))
