@@ -90,6 +90,8 @@ def append_detections(
     A uid contains the acquisition time, so only the stored days that the batch
     covers can hold it: the stored side is pruned to those partitions. Columns go
     by name, missing ones become null. Writing the same batch again adds nothing.
+    The file listing is refreshed first: another session, such as a stream's, may
+    have written since this one last looked.
     """
     spark = batch.sparkSession
     table = full_name(name)
@@ -97,6 +99,7 @@ def append_detections(
     first, last = dated.agg(F.min(DAY), F.max(DAY)).first()
     if first is None:
         return spark.table(table)
+    spark.catalog.refreshTable(table)
     stored = spark.table(table).where(day_bounds(first, last))
     fresh = unseen(dated, stored, within_batch=within_batch)
     missing = {

@@ -82,6 +82,7 @@ def test_stream_takes_late_and_repeated_pages_once(spark, rows, tmp_path, fire_t
     def run():
         feed = ingest.stream_feed_pages(spark, str(landing))
         ingest.start_ingest(feed, fire_table, str(tmp_path / "check"), available_now=True).awaitTermination()
+        spark.catalog.refreshTable(fire_table)
         return spark.table(fire_table).count()
 
     (landing / "a.json").write_text(page([feed_row(1), feed_row(1), feed_row(2, "1704879000000")]))
@@ -90,6 +91,9 @@ def test_stream_takes_late_and_repeated_pages_once(spark, rows, tmp_path, fire_t
     (landing / "b.json").write_text(page([feed_row(1), feed_row(3), feed_row(4, old)]))
     assert run() == 4
     assert run() == 4
+    tables.append_detections(spark.createDataFrame([detection("z")], FIRES), fire_table)
+    (landing / "c.json").write_text(page([feed_row(5), feed_row(3), feed_row(2, "1704879000000")]))
+    assert run() == 6
 
 
 def test_rolling_windows_come_out_after_the_watermark(spark, rows, tmp_path):
