@@ -15,6 +15,7 @@ from emberbasin.functions.columns import named
 
 DAY = "%Y-%m-%d"
 SECOND = "%Y-%m-%d %H:%M:%S"
+DAY_COLUMN = "acq_day"
 
 
 def compile_filters(
@@ -144,7 +145,34 @@ def known_power(df: DataFrame) -> DataFrame:
     return df.where(F.col("frp_mw").isNotNull() & F.col("hours_old").isNotNull())
 
 
-def day_bounds(first: date | datetime, last: date | datetime, column: str = "acq_day") -> Column:
-    """Partition predicate that goes with a timestamp range on a table laid out by day."""
-    days = [d.date() if isinstance(d, datetime) else d for d in (first, last)]
-    return F.col(column).between(F.lit(days[0]), F.lit(days[1]))
+def prune_days(
+    df: DataFrame, first: date | None = None, last: date | None = None
+) -> DataFrame:
+    """Only the partitions of a table laid out by day that a time range can touch.
+
+    Goes with the condition on the timestamp itself, which Spark cannot turn into
+    one on the partition column. Frames without that column come back as they are.
+    """
+    if DAY_COLUMN not in df.columns:
+        return df
+    if first is not None:
+        df = df.where(F.col(DAY_COLUMN) >= F.lit(_day(first)))
+    if last is not None:
+        df = df.where(F.col(DAY_COLUMN) <= F.lit(_day(last)))
+    return df
+
+
+def _day(moment: date) -> date:
+    return moment.date() if isinstance(moment, datetime) else moment
+
+
+def in_days(df: DataFrame, timestamp: str, start: str | None, end: str | None) -> DataFrame:
+    """Rows from the calendar day ``start`` to ``end``, either of which may be left open."""
+    first, last = (parse_day(d).date() if d else None for d in (start, end))
+    wanted = optional_days(F.col(timestamp), start, end)
+    return df if wanted is None else prune_days(df.where(wanted), first, last)
+
+
+def since(df: DataFrame, timestamp: str, moment: datetime) -> DataFrame:
+    """Rows at or after a moment."""
+    return prune_days(df.where(F.col(timestamp) >= ntz(moment)), moment)

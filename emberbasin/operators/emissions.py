@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberbasin.functions.emissions import emission_columns, emission_totals
-from emberbasin.functions.filters import in_box, known_power, optional_days
+from emberbasin.functions.filters import in_box, in_days, known_power
 from emberbasin.operators.fires import TIME
 
 
@@ -36,6 +36,5 @@ def box_emissions(
     end_date: str | None = None,
 ) -> DataFrame:
     """Totals over the fires in a box, by calendar day when days are given."""
-    kept = fires.where(in_box(min_lat, max_lat, min_lon, max_lon))
-    days = optional_days(F.col(TIME), start_date, end_date)
-    return total_emissions(kept if days is None else kept.where(days))
+    boxed = fires.where(in_box(min_lat, max_lat, min_lon, max_lon))
+    return total_emissions(in_days(boxed, TIME, start_date, end_date))

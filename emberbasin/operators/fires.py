@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from datetime import datetime
+from datetime import datetime, timedelta
 from functools import reduce
 from operator import or_
 from typing import Any
@@ -20,9 +20,11 @@ from emberbasin.functions.filters import (
     between_seconds,
     cutoff_days,
     in_box,
-    ntz,
+    in_days,
     on_day,
-    optional_days,
+    parse_day,
+    prune_days,
+    since,
     utc_now,
     whole_days,
     with_confidence,
@@ -75,7 +77,8 @@ def count_between(
 ) -> DataFrame:
     """Fires from ``start`` to ``end``; ValueError when the days are no dates or out of order."""
     first, last = whole_days(start, end)
-    kept = with_confidence(fires.where(between_seconds(F.col(TIME), start, end)), confidence)
+    timed = prune_days(fires.where(between_seconds(F.col(TIME), start, end)), first, last)
+    kept = with_confidence(timed, confidence)
     return count_fires(kept, filters, group_by).withColumns(
         {
             "start_date": F.lit(start),
@@ -97,7 +100,7 @@ def count_last_days(
 ) -> DataFrame:
     """Fires of the last ``days_back`` days before ``as_of`` (UTC now when not given)."""
     cutoff = cutoff_days(as_of or utc_now(), days_back)
-    kept = with_confidence(fires.where(F.col(TIME) >= ntz(cutoff)), confidence)
+    kept = with_confidence(since(fires, TIME, cutoff), confidence)
     return count_fires(kept, filters, group_by).withColumns(
         {"days_back": F.lit(float(days_back)), "cutoff": F.lit(cutoff.strftime(SECOND))}
     )
@@ -123,7 +126,8 @@ def count_windows(
 ) -> DataFrame:
     """Counts for several look-back windows in hours."""
     now = as_of or utc_now()
-    return count_each(fires, {f"last {h} hours": within(F.col(TIME), now, hours=h) for h in hours})
+    reached = prune_days(fires, now - timedelta(hours=max(hours)))
+    return count_each(reached, {f"last {h} hours": within(F.col(TIME), now, hours=h) for h in hours})
 
 
 def count_confidence_windows(
@@ -132,7 +136,7 @@ def count_confidence_windows(
     """Counts for several (confidence, hours) pairs."""
     now = as_of or utc_now()
     return count_each(
-        fires,
+        prune_days(fires, now - timedelta(hours=max(h for _, h in wanted))),
         {
             f"{level} last {h} hours": (F.col("confidence") == level)
             & within(F.col(TIME), now, hours=h)
@@ -152,7 +156,8 @@ def count_days(
     """Counts on several calendar days and day ranges."""
     asked = {day: on_day(F.col(TIME), day) for day in days}
     asked |= {f"{a} to {b}": between_days(F.col(TIME), a, b) for a, b in ranges}
-    return count_each(fires, asked)
+    edges = [parse_day(d) for d in [*days, *(d for pair in ranges for d in pair)]]
+    return count_each(prune_days(fires, min(edges), max(edges)), asked)
 
 
 def fire_statistics(fires: DataFrame, hours: float = 24) -> DataFrame:
@@ -213,11 +218,8 @@ def fires_in_box(
     end_date: str | None = None,
     limit: int | None = 100,
 ) -> DataFrame:
-    kept = fires.where(in_box(min_lat, max_lat, min_lon, max_lon))
-    days = optional_days(F.col(TIME), start_date, end_date)
-    if days is not None:
-        kept = kept.where(days)
-    return newest(kept, limit).select(
+    boxed = fires.where(in_box(min_lat, max_lat, min_lon, max_lon))
+    return newest(in_days(boxed, TIME, start_date, end_date), limit).select(
         "latitude", "longitude", "brightness_temp_i4", "frp_mw", "confidence", TIME, "hours_old"
     )
 
@@ -239,7 +241,7 @@ def fires_by_date(
     confidence: str = "all",
     limit: int | None = 100,
 ) -> DataFrame:
-    kept = fires.where(between_days(F.col(TIME), start_date, end_date or start_date))
+    kept = in_days(fires, TIME, start_date, end_date or start_date)
     return newest(with_confidence(kept, confidence), limit).select(
         "latitude", "longitude", "brightness_temp_i4", "frp_mw", "confidence", TIME,
         "hours_old", "satellite",

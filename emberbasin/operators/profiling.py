@@ -186,7 +186,8 @@ def top_values(
     shuffle by column as well, so a column of any cardinality sends few rows.
     """
     counted = value_frequencies(df, list(columns or text_columns(df)))
-    unique = counted.groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"))
+    # Counted through n, so that both branches read the same columns and share one shuffle.
+    unique = counted.groupBy("column").agg(F.count_if(F.col("n") > 0).alias("unique_count"))
     order = Window.partitionBy("column").orderBy(F.desc("n"), "value")
     ranked = counted.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
     return ranked.join(F.broadcast(unique), "column").select(

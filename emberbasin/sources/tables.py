@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberbasin.functions.columns import named
-from emberbasin.functions.filters import day_bounds
+from emberbasin.functions.filters import DAY_COLUMN, prune_days
 from emberbasin.operators.cleaning import (
     clean_baseline_annual,
     clean_baseline_monthly,
@@ -21,7 +21,6 @@ from emberbasin.schemas import FIRE_TABLE, FIRES, REGION_TABLE, WATER_TABLES
 from emberbasin.sources.files import read_csv, read_raw_csv
 
 DATABASE = "main"
-DAY = "acq_day"
 FIRE_NOTES = (
     "Thermal hotspots of the VIIRS 375 m active-fire product, near real time. "
     "Each row is one detected hotspot pixel."
@@ -49,8 +48,8 @@ def create_fire_table(
     )
     at = f" LOCATION '{location}'" if location else ""
     spark.sql(
-        f"CREATE TABLE IF NOT EXISTS {table} ({columns}, {DAY} DATE) USING parquet "
-        f"PARTITIONED BY ({DAY}){at}"
+        f"CREATE TABLE IF NOT EXISTS {table} ({columns}, {DAY_COLUMN} DATE) USING parquet "
+        f"PARTITIONED BY ({DAY_COLUMN}){at}"
     )
     return table
 
@@ -76,10 +75,14 @@ def unseen(
     """Batch rows whose key is not stored yet.
 
     ``within_batch=False`` leaves copies inside the batch, as a check against
-    stored rows alone would.
+    stored rows alone would; a key with very many copies is then split.
     """
-    rows = one_per_key(batch, key) if within_batch else batch
-    return rows.join(stored.select(key), key, "left_anti").select(*batch.columns)
+    known = stored.select(key)
+    if within_batch:
+        fresh = one_per_key(batch, key).join(known, key, "left_anti")
+    else:
+        fresh = equi_join(batch, known, key, "left_anti")
+    return fresh.select(*batch.columns)
 
 
 def append_detections(
@@ -95,18 +98,18 @@ def append_detections(
     """
     spark = batch.sparkSession
     table = full_name(name)
-    dated = batch.withColumn(DAY, F.to_date("acquisition_timestamp"))
-    first, last = dated.agg(F.min(DAY), F.max(DAY)).first()
+    dated = batch.withColumn(DAY_COLUMN, F.to_date("acquisition_timestamp"))
+    first, last = dated.agg(F.min(DAY_COLUMN), F.max(DAY_COLUMN)).first()
     if first is None:
         return spark.table(table)
     spark.catalog.refreshTable(table)
-    stored = spark.table(table).where(day_bounds(first, last))
+    stored = prune_days(spark.table(table), first, last)
     fresh = unseen(dated, stored, within_batch=within_batch)
     missing = {
         f.name: F.lit(None).cast(f.dataType) for f in FIRES.fields if f.name not in fresh.columns
     }
-    ordered = fresh.withColumns(missing).select(*FIRES.fieldNames(), DAY)
-    ordered.hint("rebalance", DAY).write.insertInto(table)
+    ordered = fresh.withColumns(missing).select(*FIRES.fieldNames(), DAY_COLUMN)
+    ordered.hint("rebalance", DAY_COLUMN).write.insertInto(table)
     return spark.table(table)
 
 

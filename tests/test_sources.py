@@ -4,7 +4,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from emberbasin.operators import text
+from emberbasin.operators import fires, text
 from emberbasin.operators.freesql import run_select
 from emberbasin.schemas import FIRES
 from emberbasin.sources import files, tables
@@ -34,6 +34,26 @@ def test_appending_keeps_each_key_once_with_its_first_age(spark, rows, fire_tabl
     assert stored.schema["frp_mw"].metadata["comment"].startswith("fire radiative power")
 
 
+def test_time_conditions_prune_day_partitions(spark, fire_table):
+    batch = spark.createDataFrame([detection(str(d), d) for d in range(1, 29)], FIRES)
+    stored = tables.append_detections(batch, fire_table)
+    now = datetime(2024, 1, 29)
+    asked = {
+        "on date": (fires.count_on_date(stored, "2024-01-10"), 1),
+        "last days": (fires.count_last_days(stored, 2, now), 2),
+        "by date": (fires.fires_by_date(stored, "2024-01-05", "2024-01-07"), 3),
+        "in box": (fires.fires_in_box(stored, 0, 5, 0, 5, start_date="2024-01-27"), 2),
+        "windows": (fires.count_windows(stored, [24, 72], now), 2),
+        "days": (fires.count_days(stored, ["2024-01-03"], [("2024-01-08", "2024-01-09")]), 2),
+    }
+    for name, (answer, size) in asked.items():
+        plan = answer._jdf.queryExecution().executedPlan().toString()
+        filters = next(line for line in plan.splitlines() if "PartitionFilters" in line)
+        assert "acq_day" in filters.split("PartitionFilters: [")[1].split("]")[0], name
+        found = answer.collect()
+        assert size == (found[0].fire_count if len(found) == 1 else len(found)), name
+
+
 def test_copies_within_a_batch_may_stay(spark, fire_table):
     batch = spark.createDataFrame([detection("a"), detection("a")], FIRES)
     assert tables.append_detections(batch, fire_table, within_batch=False).count() == 2
