@@ -29,7 +29,7 @@ from emberbasin.functions.names import (
 )
 from emberbasin.operators.profiling import long_form, modes, numeric_columns, text_columns
 from emberbasin.operators.water import region_lookup
-from emberbasin.plans.quantiles import exact_quantiles, too_many_to_gather
+from emberbasin.plans.quantiles import GATHER_ROWS, exact_quantiles
 from emberbasin.schemas import FEED_NAMES, FIRES, LOADED_CONFIDENCE
 
 NULL_SHARE = 0.80
@@ -64,13 +64,19 @@ def to_numbers(df: DataFrame, columns: Sequence[str], kind: str = "double") -> D
     return df.withColumns({c: named(c).try_cast(kind) for c in columns})
 
 
-def drop_mostly_null(df: DataFrame, share: float = NULL_SHARE) -> DataFrame:
-    """Without the columns whose null share is above ``share``; one pass decides for all columns."""
-    shares = df.agg(
-        *[F.avg(named(c).isNull().cast("int")).alias(str(i)) for i, c in enumerate(df.columns)]
+def count_nulls(df: DataFrame, columns: Sequence[str] | None = None) -> tuple[int, dict[str, int]]:
+    """The row count, and nulls by column, from one pass over all columns."""
+    names = list(columns or df.columns)
+    rows, *nulls = df.agg(
+        F.count(F.lit(1)), *[F.count_if(named(c).isNull()) for c in names]
     ).first()
-    dropped = {c for c, s in zip(df.columns, shares) if s is not None and s > share}
-    return df.select(*[named(c) for c in df.columns if c not in dropped])
+    return rows, dict(zip(names, nulls))
+
+
+def drop_mostly_null(df: DataFrame, share: float = NULL_SHARE) -> DataFrame:
+    """Without the columns whose null share is above ``share``."""
+    rows, nulls = count_nulls(df)
+    return df.select(*[named(c) for c, missing in nulls.items() if missing <= share * rows])
 
 
 def fill_medians(
@@ -82,14 +88,17 @@ def fill_medians(
     between two whole numbers. A column without values stays null.
     """
     names = list(columns or numeric_columns(df))
-    if not names:
-        return df
-    nulls = df.agg(*[F.count_if(named(c).isNull()) for c in names]).first()
-    gaps = [c for c, missing in zip(names, nulls) if missing]
+    rows, nulls = count_nulls(df, names)
+    return _fill_medians(df, [c for c in names if nulls[c]], rows, distributed)
+
+
+def _fill_medians(
+    df: DataFrame, gaps: Sequence[str], rows: int, distributed: bool | None
+) -> DataFrame:
     if not gaps:
         return df
     if distributed is None:
-        distributed = too_many_to_gather(df, len(gaps))
+        distributed = rows * len(gaps) > GATHER_ROWS
     found = exact_quantiles(
         long_form(df, gaps, "double"), ["column"], "value", [0.5], distributed
     )
@@ -102,16 +111,32 @@ def fill_medians(
 def fill_modes(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Nulls of text columns to the most frequent text, the smallest of equals."""
     names = list(columns or text_columns(df))
-    if not names:
-        return df
-    nulls = df.agg(*[F.count_if(named(c).isNull()) for c in names]).first()
-    gaps = [c for c, missing in zip(names, nulls) if missing]
+    _, nulls = count_nulls(df, names)
+    return _fill_modes(df, [c for c in names if nulls[c]])
+
+
+def _fill_modes(df: DataFrame, gaps: Sequence[str]) -> DataFrame:
     if not gaps:
         return df
     found = {r["column"]: r["mode"] for r in modes(df, gaps).collect()}
     return df.withColumns({c: F.coalesce(named(c), F.lit(m)) for c, m in found.items()})
 
 
+def impute(
+    df: DataFrame, share: float | None = None, distributed: bool | None = None
+) -> DataFrame:
+    """Medians and modes into all gaps, mostly-null columns dropped if asked.
+
+    One pass counts the nulls for all three decisions.
+    """
+    rows, nulls = count_nulls(df)
+    if share is not None:
+        df = df.select(*[named(c) for c, missing in nulls.items() if missing <= share * rows])
+    numbers = [c for c in numeric_columns(df) if nulls[c]]
+    texts = [c for c in text_columns(df) if nulls[c]]
+    return _fill_modes(_fill_medians(df, numbers, rows, distributed), texts)
+
+
 def clean_baseline_annual(raw: DataFrame) -> DataFrame:
     """Fill markers of raw and score columns to null."""
     return null_fills(raw, ending_with(raw.columns, "_raw", "_score"))
@@ -169,8 +194,7 @@ def clean_detections(feed: DataFrame) -> DataFrame:
 
 def impute_baseline_annual(raw: DataFrame, distributed: bool | None = None) -> DataFrame:
     """Copies dropped, all markers to null, mostly-null columns dropped, medians and modes filled in."""
-    kept = drop_mostly_null(null_fills(raw.dropDuplicates()))
-    return fill_modes(fill_medians(kept, distributed=distributed))
+    return impute(null_fills(raw.dropDuplicates()), NULL_SHARE, distributed)
 
 
 def impute_future_annual(raw: DataFrame, distributed: bool | None = None) -> DataFrame:
@@ -180,7 +204,7 @@ def impute_future_annual(raw: DataFrame, distributed: bool | None = None) -> Dat
     marked = named_out.withColumns(
         {c: fills_to_null(named(c), k, [-9999]) for c, k in kinds.items() if is_numeric(k)}
     )
-    return fill_modes(fill_medians(marked, distributed=distributed))
+    return impute(marked, distributed=distributed)
 
 
 def impute_baseline_monthly(raw: DataFrame, distributed: bool | None = None) -> DataFrame:
@@ -188,7 +212,7 @@ def impute_baseline_monthly(raw: DataFrame, distributed: bool | None = None) ->
     long_names = rename(raw, monthly_long_names())
     kept = rename_all(long_names, upper_squeezed).dropDuplicates()
     marked = null_fills(kept, numeric_columns(kept))
-    filled = fill_modes(fill_medians(marked, distributed=distributed))
+    filled = impute(marked, distributed=distributed)
     return filled.toDF(*month_names(filled.columns))
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -269,49 +271,48 @@ def column_overview(df: DataFrame) -> DataFrame:
 
 
 def quality_report(df: DataFrame) -> DataFrame:
-    """``metric, column, value``: size, duplicates, missing values and cardinality of a table."""
+    """``metric, column, value``: size, duplicates, missing values and cardinality of a table.
 
-    def whole(metric: str, value: Column) -> Column:
+    Three passes: sizes and missing values of all columns, copies, distinct values.
+    """
+
+    def entry(metric: str, value: Column, column: Column | None = None) -> Column:
+        name = F.lit(None) if column is None else column
         return F.struct(
             F.lit(metric).alias("metric"),
-            F.lit(None).cast("string").alias("column"),
+            name.cast("string").alias("column"),
             value.cast("double").alias("value"),
         )
 
-    def each(rows: DataFrame, metric: str, value: Column) -> DataFrame:
-        return rows.select(F.lit(metric).alias("metric"), "column", value.cast("double").alias("value"))
-
-    nulls, flags = null_counts(df), cardinality_flags(df)
-    counts = shape(df).select(
-        F.inline(F.array(whole("rows", F.col("rows")), whole("columns", F.col("columns"))))
-    )
-    copies = duplicate_count(df).select(
-        F.inline(F.array(whole("duplicate_rows", F.col("duplicate_rows"))))
+    counted = df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.count_if(named(c).isNull()).alias(f"n{i}") for i, c in enumerate(df.columns)],
     )
-    missing = nulls.agg(
-        F.sum("null_count").alias("cells"), F.count_if(F.col("null_count") > 0).alias("columns")
-    ).select(
-        F.inline(
-            F.array(
-                whole("missing_values", F.col("cells")),
-                whole("columns_with_missing", F.col("columns")),
-            )
+    missing = [F.col(f"n{i}") for i in range(len(df.columns))]
+    sizes = [
+        entry("rows", F.col("rows")),
+        entry("columns", F.lit(len(df.columns))),
+        entry("missing_values", reduce(add, missing)),
+        entry("columns_with_missing", reduce(add, [(m > 0).cast("int") for m in missing])),
+    ]
+    for name, count in zip(df.columns, missing):
+        sizes.append(entry("missing_by_column", count, F.lit(name)))
+        share = F.try_divide(count, F.col("rows"))
+        sizes.append(entry("missing_fraction", share, F.lit(name)))
+    copies = [entry("duplicate_rows", F.col("duplicate_rows"))]
+    column = F.col("column")
+    kinds = [
+        entry("all_missing", F.when(F.col("is_all_null"), 1), column),
+        entry("one_unique_value", F.when(F.col("is_constant"), 1), column),
+        entry("high_cardinality", F.when(F.col("is_high_cardinality"), F.col("unique_count")), column),
+    ]
+    return (
+        counted.select(F.inline(F.array(*sizes)))
+        .unionByName(duplicate_count(df).select(F.inline(F.array(*copies))))
+        .unionByName(
+            cardinality_flags(df).select(F.inline(F.array(*kinds))).where("value IS NOT NULL")
         )
     )
-    parts = [
-        counts,
-        copies,
-        missing,
-        each(nulls, "missing_by_column", F.col("null_count")),
-        each(nulls, "missing_fraction", F.col("null_fraction")),
-        each(flags.where("is_all_null"), "all_missing", F.lit(1)),
-        each(flags.where("is_constant"), "one_unique_value", F.lit(1)),
-        each(flags.where("is_high_cardinality"), "high_cardinality", F.col("unique_count")),
-    ]
-    report = parts[0]
-    for part in parts[1:]:
-        report = report.unionByName(part)
-    return report
 
 
 def monthly_scores(monthly: DataFrame) -> DataFrame:
