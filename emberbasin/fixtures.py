@@ -6,7 +6,7 @@ Each is one SQL text for both engines; the few expressions that differ are slots
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -177,19 +177,30 @@ def _fill(template: str, slots: Mapping[str, str]) -> str:
     return template
 
 
-_frames: dict[tuple[str, str, str], DataFrame] = {}
+_frames: dict[tuple, DataFrame] = {}
+
+
+def _once(spark: SparkSession, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+    """A frame analysed once per application, as a view in a catalog would be."""
+    full = (spark.sparkContext.applicationId, id(spark), *key)
+    if full not in _frames:
+        _frames[full] = make()
+    return _frames[full]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table as it is; its schema is read once per application."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _frames:
-        _frames[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return _frames[key]
+    """A driver table as it is."""
+    return _once(spark, (sf_dir, name), lambda: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str, spread_out: bool = False) -> DataFrame:
     """A derived table; ``spread_out`` for work that costs much per row."""
+    return _once(
+        spark, (sf_dir, name, spread_out), lambda: _derive(spark, sf_dir, name, spread_out)
+    )
+
+
+def _derive(spark: SparkSession, sf_dir: str, name: str, spread_out: bool) -> DataFrame:
     text = _fill(TEMPLATES[name], SPARK)
     used = sorted(set(re.findall(r"\b(?:FROM|JOIN) (\w+)", text)) & set(TABLES))
     frames = {t: table(spark, sf_dir, t) for t in used}

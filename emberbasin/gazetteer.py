@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from emberbasin.plans.local import local_rows
+
 # City centres (latitude, longitude).
 CITIES = {
     "Nairobi": (-1.2921, 36.8219),
@@ -118,20 +120,21 @@ def places(spark: SparkSession) -> DataFrame:
     """``place, kind, lat, lon`` for the cities and countries above."""
     rows = [(name, "city", lat, lon) for name, (lat, lon) in CITIES.items()]
     rows += [(name, "country", lat, lon) for name, (lat, lon) in COUNTRIES.items()]
-    return spark.createDataFrame(rows, "place string, kind string, lat double, lon double")
+    return local_rows(spark, rows, "place string, kind string, lat double, lon double")
 
 
 def city_boxes(spark: SparkSession) -> DataFrame:
     """``place, min_lat, max_lat, min_lon, max_lon`` for the cities given as boxes."""
     rows = [(name, *box) for name, box in CITY_BOXES.items()]
-    return spark.createDataFrame(
-        rows, "place string, min_lat double, max_lat double, min_lon double, max_lon double"
+    return local_rows(
+        spark, rows, "place string, min_lat double, max_lat double, min_lon double, max_lon double"
     )
 
 
 def pairs(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
     """``pair_id, place_a, place_b`` in the given order."""
-    return spark.createDataFrame(
+    return local_rows(
+        spark,
         [(i, a, b) for i, (a, b) in enumerate(rows, 1)],
         "pair_id int, place_a string, place_b string",
     )

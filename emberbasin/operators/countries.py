@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from emberbasin.functions.columns import named, percent_change
 from emberbasin.functions.names import resolve_column
+from emberbasin.plans.local import local_rows
 
 # Output name -> column averaged per country.
 BASELINE_METRICS = {
@@ -154,8 +155,8 @@ def country_values(
     countries: DataFrame, questions: Sequence[tuple[str, str, str]], places: int = 4
 ) -> DataFrame:
     """Answers to (question, metric, country) in one pass; a country without data has no row."""
-    asked = countries.sparkSession.createDataFrame(
-        list(questions), "question string, metric string, country string"
+    asked = local_rows(
+        countries.sparkSession, list(questions), "question string, metric string, country string"
     )
     rows = metric_rows(countries, sorted({metric for _, metric, _ in questions}))
     return rows.join(F.broadcast(asked), ["metric", "country"]).select(
@@ -167,7 +168,8 @@ def compare_countries(
     countries: DataFrame, comparisons: Sequence[tuple[str, str, str, str]], places: int = 4
 ) -> DataFrame:
     """Both values of each (question, metric, country, country), larger first within a question."""
-    asked = countries.sparkSession.createDataFrame(
+    asked = local_rows(
+        countries.sparkSession,
         [
             (number, question, metric, country)
             for number, (question, metric, *both) in enumerate(comparisons, 1)

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from emberbasin.functions.columns import is_numeric, named
 from emberbasin.functions.names import CLEAN_NAME
+from emberbasin.plans.local import local_rows
 from emberbasin.plans.quantiles import exact_quantiles, too_many_to_gather
 from emberbasin.schemas import MONTHLY_INDICATORS
 
@@ -109,14 +110,14 @@ def shape(df: DataFrame) -> DataFrame:
 def type_report(df: DataFrame) -> DataFrame:
     """``position, column, type`` of every column."""
     rows = [(i, name, kind) for i, (name, kind) in enumerate(df.dtypes)]
-    return df.sparkSession.createDataFrame(rows, "position int, column string, type string")
+    return local_rows(df.sparkSession, rows, "position int, column string, type string")
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``column, unique_count`` of known values; columns without any are there with 0."""
     names = list(columns or df.columns)
     found = value_frequencies(df, names).groupBy("column").agg(F.count(F.lit(1)).alias("n"))
-    every = df.sparkSession.createDataFrame([(c,) for c in names], "column string")
+    every = local_rows(df.sparkSession, [(c,) for c in names], "column string")
     return every.join(found, "column", "left").select(
         "column", F.coalesce("n", F.lit(0)).alias("unique_count")
     )
@@ -226,7 +227,7 @@ def describe_all(df: DataFrame, distributed: bool | None = None) -> DataFrame:
             (-F.col("best.order")).alias("freq"),
         )
     )
-    every = df.sparkSession.createDataFrame([(c,) for c in names], "column string")
+    every = local_rows(df.sparkSession, [(c,) for c in names], "column string")
     words = every.join(words, "column", "left").withColumns(
         {"count": F.coalesce("count", F.lit(0)), "unique": F.coalesce("unique", F.lit(0))}
     )

@@ -17,6 +17,7 @@ from emberbasin.operators.cleaning import (
     clean_region_lookup,
 )
 from emberbasin.plans.joins import equi_join
+from emberbasin.plans.local import local_rows
 from emberbasin.schemas import FIRE_TABLE, FIRES, REGION_TABLE, WATER_TABLES
 from emberbasin.sources.files import read_csv, read_raw_csv
 
@@ -182,7 +183,7 @@ def list_datasets(spark: SparkSession, databases: Sequence[str] | None = None) -
         for table in spark.catalog.listTables(database)
         if not table.isTemporary and table.tableType != "VIEW"
     ]
-    return spark.createDataFrame(names, "dataset string").orderBy("dataset")
+    return local_rows(spark, names, "dataset string").orderBy("dataset")
 
 
 def describe_frame(df: DataFrame, name: str, notes: Mapping[str, str] | None = None) -> DataFrame:
