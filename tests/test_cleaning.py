@@ -71,6 +71,11 @@ def test_mostly_null_columns_go(spark):
     assert c.drop_mostly_null(df, 0.5).columns == ["a"]
 
 
+def test_imputation_takes_a_key_that_equals_a_marker_for_missing(spark, rows):
+    raw = spark.createDataFrame([(1, "x"), (3, "x"), (9999, None)], "pfaf_id int, name string")
+    assert rows(c.impute_baseline_annual(raw)) == [(1.0, "x"), (2.0, "x"), (3.0, "x")]
+
+
 FEED = "OBJECTID long, latitude double, longitude double, bright_ti4 double, frp double, acq_date string, acq_time string, confidence string, satellite string, hours_old double"
 
 

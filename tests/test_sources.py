@@ -2,8 +2,6 @@ import json
 from datetime import date, datetime
 
 import pytest
-from pyspark.sql import functions as F
-
 from emberbasin.operators import fires, text
 from emberbasin.operators.freesql import run_select
 from emberbasin.schemas import FIRES
