@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from emberbasin.llm import packing
+from emberbasin.llm import mixing, packing, rules, sharding
 from emberbasin.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,3 +30,74 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t FROM documents
+), m AS (
+  SELECT doc_id, t,
+    list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+    length(t) - length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS blanks,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    length(t) - length(replace(t, '!', '')) AS n_bangs,
+    length(regexp_replace(t, '[^\p{L}]+', '', 'g')) AS n_letters
+  FROM d
+), p AS (
+  SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM m WHERE len(w) >= 3
+), g AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM p
+), r AS (
+  SELECT doc_id, count(DISTINCT j) AS n_repeat_words
+  FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM g WHERE n >= 2) GROUP BY doc_id
+), x AS (
+  SELECT m.doc_id, len(w)::BIGINT AS n_words, (length(t) - blanks)::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+    len(lines)::BIGINT AS n_lines, n_bangs, n_letters
+  FROM m LEFT JOIN r ON m.doc_id = r.doc_id
+), f AS (
+  SELECT *,
+    (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
+     + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END
+     + CASE WHEN word_chars > 12 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars < 2 * n_words THEN 32 ELSE 0 END
+     + CASE WHEN 2 * n_bangs > n_words THEN 64 ELSE 0 END + CASE WHEN 2 * n_letters < word_chars THEN 128 ELSE 0 END)::BIGINT AS failed
+  FROM x
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed
+FROM f
+"""
+
+
+@query(OP2_SQL)
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select(
+        "doc_id",
+        *rules.MEASURES[:5],
+        (~rules.passes("base", 1)).alias("base_failed"),
+        rules.passes("prose", 1).alias("kept"),
+        "failed",
+    )
+
+
+@query()
+def op3_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query()
+def op6_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_documents(table(spark, sf_dir, "documents"))
+    return mixed.select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "rate", "copies"
+    )
