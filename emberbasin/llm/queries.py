@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberbasin.llm import mixing, packing, rules, sharding
-from emberbasin.llm.common import table
+from emberbasin.llm import classifier, mixing, packing, rules, sharding, warc
+from emberbasin.llm.common import scratch_folder, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -101,3 +101,34 @@ def op6_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "rate", "copies"
     )
+
+
+@query()
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = stored(classifier.with_features(table(spark, sf_dir, "documents")))
+    ranking = classifier.learn(scored, table(spark, sf_dir, "labels"))
+    score = ranking.score(F.col("x"))
+    return scored.select(
+        "doc_id", classifier.held_out(F.col("doc_id")).alias("held_out"), score.alias("score")
+    ).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+OP9_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html FROM pages
+), g AS (
+  SELECT page_id, html, octet_length(encode(html)) AS n, max(page_id) OVER (PARTITION BY html) AS first FROM p
+)
+SELECT page_id, n::BIGINT AS payload_bytes, sha1(html) AS payload_digest,
+  CASE WHEN n >= 1000 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND first <> page_id THEN first END AS refers_to
+FROM g
+"""
+
+
+@query(OP9_SQL)
+def op9_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_folder(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    rows = warc.resolved(warc.reassembled(warc.read_records(spark, path)))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
