@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberbasin.llm import classifier, mixing, packing, rules, sharding, warc
+from emberbasin.llm import classifier, mixing, packing, rules, sharding, syncmers, warc
 from emberbasin.llm.common import scratch_folder, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -132,3 +132,18 @@ def op9_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write_archives(table(spark, sf_dir, "pages"), path)
     rows = warc.resolved(warc.reassembled(warc.read_records(spark, path)))
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op10_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = syncmers.with_edited(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        syncmers.digest(F.col("anchors")).alias("fingerprint"),
+        syncmers.digest(F.col("edited_anchors")).alias("edited_fingerprint"),
+        syncmers.likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"),
+        syncmers.likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
+        F.size("anchors").alias("n_anchors"),
+    )
