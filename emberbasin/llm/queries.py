@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberbasin.llm import classifier, mixing, packing, rules, sharding, syncmers, warc
+from emberbasin.llm import classifier, licenses, mixing, packing, rules, sharding, syncmers, warc
 from emberbasin.llm.common import scratch_folder, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -147,3 +147,8 @@ def op10_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
         syncmers.likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
         F.size("anchors").alias("n_anchors"),
     )
+
+
+@query()
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
