@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberbasin.llm import classifier, licenses, mixing, packing, rules, sharding, syncmers, warc
+from emberbasin.llm import classifier, jaccard, licenses, mixing, packing, rules, sharding, syncmers, warc
 from emberbasin.llm.common import scratch_folder, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -152,3 +152,9 @@ def op10_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_shingles", "component_id", "n_links")
