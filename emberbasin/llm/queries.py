@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberbasin.llm import classifier, jaccard, licenses, mixing, packing, rules, sharding, syncmers, warc
-from emberbasin.llm.common import scratch_folder, stored, table
+from emberbasin.llm import classifier, jaccard, licenses, mixing, packing, rules, sharding, substrings, syncmers, warc
+from emberbasin.llm.common import scratch_folder, stored, table, text_key
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -158,3 +158,19 @@ def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = jaccard.near_duplicates(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+@query()
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    body = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(
+        "doc_id", *text_key(F.col("text")), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body.cast("binary"), 256).alias("sha")
+    )
+    return rows.join(substrings.repeats_removed(docs), ["k1", "k2"], "left").select(
+        "doc_id",
+        "n_bytes",
+        F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
+        F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
+        F.coalesce("kept_sha256", "sha").alias("kept_sha256"),
+    )
