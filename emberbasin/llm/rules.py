@@ -10,6 +10,7 @@ Columns other than the text are passed through untouched unless they carry a nam
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -54,6 +55,11 @@ def without(text: Column, characters: str) -> Column:
     return (F.length(text) - F.length(F.translate(text, characters, ""))).cast("long")
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value worked out once, however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def repeated_window_words(words: Column, size: int = 3) -> Column:
     """Words inside windows of ``size`` words that the text has twice or more.
 
@@ -66,26 +72,18 @@ def repeated_window_words(words: Column, size: int = 3) -> Column:
     )
     ordered = F.sort_array(windows)
 
-    def covered(sorted_windows: Column) -> Column:
-        twice = F.filter(
-            sorted_windows,
-            lambda w, j: (w["h"] == F.get(sorted_windows, j - 1)["h"]) | (w["h"] == F.get(sorted_windows, j + 1)["h"]),
-        )
-        places = F.array_sort(F.transform(twice, lambda w: w["i"]))
+    def places(w: Column) -> Column:
+        twice = F.filter(w, lambda x, j: (x["h"] == F.get(w, j - 1)["h"]) | (x["h"] == F.get(w, j + 1)["h"]))
+        return F.array_sort(F.transform(twice, lambda x: x["i"]))
+
+    def covered(p: Column) -> Column:
         # A place covers what the one before it doesn't.
-        return F.aggregate(
-            F.transform(
-                places,
-                lambda p, j: F.when(j == 0, F.lit(size)).otherwise(F.least(F.lit(size), p - F.get(places, j - 1))),
-            ),
-            F.lit(0).cast("long"),
-            lambda total, n: total + n,
+        fresh = F.transform(
+            p, lambda x, j: F.when(j == 0, F.lit(size)).otherwise(F.least(F.lit(size), x - F.get(p, j - 1)))
         )
+        return F.aggregate(fresh, F.lit(0).cast("long"), lambda total, n: total + n)
 
-    # One element lets the sorted windows be named once and used many times.
-    return F.when(
-        F.size(words) > size, F.get(F.transform(F.array(ordered), covered), F.lit(0))
-    ).otherwise(F.lit(0).cast("long"))
+    return F.when(F.size(words) > size, let(let(ordered, places), covered)).otherwise(F.lit(0).cast("long"))
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:

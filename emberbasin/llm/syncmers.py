@@ -67,19 +67,6 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(own, other)) / total)
 
 
-def shifts(a: Column, b: Column) -> Column:
-    """Positional matching: for each anchor of ``a`` whose value ``b`` has, its position and its shift to the first place in ``b``."""
-    places = F.array_position  # 1 for the first, 0 for none
-    shared = F.filter(a, lambda x: places(b["value"], x["value"]) > 0)
-    return F.transform(
-        shared,
-        lambda x: F.struct(
-            x["position"].alias("position"),
-            (F.get(b["position"], (places(b["value"], x["value"]) - 1).cast("int")) - x["position"]).alias("shift"),
-        ),
-    )
-
-
 def in_id_ranges(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """doc_id, text, mark, _range and _guest: rows dealt by ranges of ids, and each range's first row also as the guest of the range before.
 
