@@ -30,9 +30,9 @@ FEATURES = (
 )
 
 
-def features(text: Column) -> list[Column]:
-    """One column for each of ``FEATURES``, over staged columns _t (text), _w (words) and _l (lines with words)."""
-    body, words, lines = F.col("_t"), F.col("_w"), F.col("_l")
+def features(t: str, w: str, lines_name: str) -> list[Column]:
+    """One column for each of ``FEATURES``, over staged columns: the text, its words, and its lines with words."""
+    body, words, lines = F.col(t), F.col(w), F.col(lines_name)
     n = F.size(words).cast("double")
     chars = F.length(body).cast("double")
     less = lambda pattern: chars - F.length(F.regexp_replace(body, pattern, ""))
@@ -60,16 +60,21 @@ def features(text: Column) -> list[Column]:
     return [F.coalesce(made[name].cast("double"), F.lit(0.0)).alias(name) for name in FEATURES]
 
 
-def with_features(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and ``x``, the array of features, of every row."""
+def staged(docs: DataFrame, t: str, w: str, lines: str, x: str, text: str = "text") -> DataFrame:
+    """Adds ``x``, the array of features of a text, and what it is made of, under names that docs doesn't have."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    staged = docs.select(
-        F.col(id_col).alias("doc_id"),
-        body.alias("_t"),
-        word_array(body).alias("_w"),
-        F.filter(F.split(body, F.lit("\n")), lambda line: trimmed(line) != "").alias("_l"),
+    split = docs.select(
+        "*",
+        body.alias(t),
+        word_array(body).alias(w),
+        F.filter(F.split(body, F.lit("\n")), lambda line: trimmed(line) != "").alias(lines),
     )
-    return staged.select("doc_id", F.array(*features(F.col("_t"))).alias("x"))
+    return split.select("*", F.array(*features(t, w, lines)).alias(x))
+
+
+def with_features(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and ``x``, the array of features, of every row."""
+    return staged(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), "_t", "_w", "_l", "x").select("doc_id", "x")
 
 
 def held_out(id_col: Column) -> Column:
