@@ -11,8 +11,6 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberbasin.plans.spread import spread
-
 AS_OF = datetime(2024, 1, 31)
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -193,19 +191,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _once(spark, (sf_dir, name), lambda: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def fixture(spark: SparkSession, sf_dir: str, name: str, spread_out: bool = False) -> DataFrame:
-    """A derived table; ``spread_out`` for work that costs much per row."""
+def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A derived table."""
     return _once(
-        spark, (sf_dir, name, spread_out), lambda: _derive(spark, sf_dir, name, spread_out)
+        spark, (sf_dir, name), lambda: _derive(spark, sf_dir, name)
     )
 
 
-def _derive(spark: SparkSession, sf_dir: str, name: str, spread_out: bool) -> DataFrame:
+def _derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = _fill(TEMPLATES[name], SPARK)
     used = sorted(set(re.findall(r"\b(?:FROM|JOIN) (\w+)", text)) & set(TABLES))
     frames = {t: table(spark, sf_dir, t) for t in used}
-    if spread_out:
-        frames = {t: spread(df) for t, df in frames.items()}
     text = re.sub(rf"\b(FROM|JOIN) ({'|'.join(used)})\b", r"\1 {\2}", text)
     return spark.sql(text, **frames)
 

@@ -25,6 +25,15 @@ def is_numeric(kind: T.DataType) -> bool:
     return isinstance(kind, T.NumericType)
 
 
+# What counts as a number in a text: no type suffixes, no hexadecimal digits.
+NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan))\s*$"
+
+
+def number(value: Column, kind: str = "double") -> Column:
+    """The number that a text spells, else null."""
+    return F.when(value.cast("string").rlike(NUMBER), value.try_cast(kind))
+
+
 def round_ties_even(value: Column, places: int) -> Column:
     """Round to ``places`` decimals, ties of the scaled value to even.
 

@@ -15,6 +15,7 @@ from emberbasin.functions.columns import (
     fills_to_null,
     is_numeric,
     named,
+    number,
 )
 from emberbasin.functions.names import (
     FUTURE_CODE,
@@ -60,8 +61,10 @@ def null_fills(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
 
 
 def to_numbers(df: DataFrame, columns: Sequence[str], kind: str = "double") -> DataFrame:
-    """Casts that give null where the value does not fit."""
-    return df.withColumns({c: named(c).try_cast(kind) for c in columns})
+    """Casts that give null where the value does not fit, or a text spells no number."""
+    kinds = dict(df.dtypes)
+    cast = {c: number(named(c), kind) if kinds[c] == "string" else named(c).try_cast(kind) for c in columns}
+    return df.withColumns(cast)
 
 
 def count_nulls(df: DataFrame, columns: Sequence[str] | None = None) -> tuple[int, dict[str, int]]:

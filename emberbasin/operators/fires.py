@@ -270,5 +270,5 @@ def capped_fire_rows(
     limit: int = 100,
     order_by: Sequence[str] | None = None,
 ) -> DataFrame:
-    """``fire_rows`` as the row tool gives it: 100 rows unless asked, never more than 1000."""
+    """``fire_rows`` as the row tool gives it: 100 rows unless asked, and at most 1000. A limit of 0 or below is no limit, as in ``fire_rows``."""
     return fire_rows(fires, filters, columns, min(limit, ROW_CAP), order_by)

@@ -13,7 +13,8 @@ from emberbasin.functions.columns import named
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 * 1024 * 1024
 HOT_SHARE = 1000
-MAX_SPLITS = 256
+SPLIT_ROWS = 250_000
+NULL_SPLITS = 1 << 20
 
 
 def _row_bytes(df: DataFrame) -> Column:
@@ -38,16 +39,27 @@ def fits_broadcast(
     return rows <= max_rows and size <= max_bytes
 
 
-def hot_keys(df: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Keys that hold more than one row in ``HOT_SHARE``, with ``splits`` in proportion.
+def fresh_name(wanted: str, *frames: DataFrame) -> str:
+    """A column name like ``wanted`` that none of the frames has, in any case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted
 
-    At most ``HOT_SHARE`` keys can qualify, so the result is always small.
+
+def hot_keys(df: DataFrame, on: Sequence[str], splits: str = "splits") -> DataFrame:
+    """Keys that hold more than one row in ``HOT_SHARE``, with the number of their splits.
+
+    At most ``HOT_SHARE`` keys can qualify, so the result is always small. A key has as
+    many splits as its share asks for, and more where one would pass ``SPLIT_ROWS``.
     """
-    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("key_rows"))
-    total = counts.agg(F.sum("key_rows")).scalar()
-    share = F.col("key_rows") * HOT_SHARE / total
+    rows = fresh_name("key_rows", df)
+    counts = df.groupBy(*[named(c) for c in on]).agg(F.count(F.lit(1)).alias(rows))
+    total = counts.agg(F.sum(rows)).scalar()
+    share = F.col(rows) * HOT_SHARE / total
     return counts.where(share > 1).select(
-        *on, F.least(F.ceil(share), F.lit(MAX_SPLITS)).cast("int").alias("splits")
+        *[named(c) for c in on],
+        F.greatest(F.ceil(share), F.ceil(F.col(rows) / SPLIT_ROWS)).cast("int").alias(splits),
     )
 
 
@@ -62,7 +74,8 @@ def split_hot_join(
     left_semi or left_anti.
     """
     on = list(on)
-    hot = hot_keys(big, on)
+    split, splits = fresh_name("split", big, other), fresh_name("splits", big, other)
+    hot = hot_keys(big, on, splits)
     has_null = F.lit(False)
     for name in on:
         has_null = has_null | named(name).isNull()
@@ -70,22 +83,22 @@ def split_hot_join(
     dealt = (
         big.join(F.broadcast(hot), on, "left")
         .withColumn(
-            "split",
-            F.when(has_null, F.pmod(deal, F.lit(MAX_SPLITS)))
-            .when(F.col("splits").isNotNull(), F.pmod(deal, F.col("splits")))
+            split,
+            F.when(has_null, F.pmod(deal, F.lit(NULL_SPLITS)))
+            .when(F.col(splits).isNotNull(), F.pmod(deal, F.col(splits)))
             .otherwise(0)
             .cast("int"),
         )
-        .drop("splits")
+        .drop(splits)
     )
     repeated = (
         other.join(F.broadcast(hot), on, "left")
         .withColumn(
-            "split", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("splits"), F.lit(1)) - 1))
+            split, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(splits), F.lit(1)) - 1))
         )
-        .drop("splits")
+        .drop(splits)
     )
-    return dealt.join(repeated.hint("merge"), [*on, "split"], how).drop("split")
+    return dealt.join(repeated.hint("merge"), [*on, split], how).drop(split)
 
 
 def equi_join(

@@ -84,7 +84,7 @@ def _narrowed(known: DataFrame, by: list[str], probs: Sequence[float]) -> DataFr
     return (
         at_rank.join(F.broadcast(positions), [*by, "prob"])
         .groupBy(*by, "prob")
-        .agg((low + (high - low) * part).alias("quantile"))
+        .agg(F.when((part == 0) | (low == high), low).otherwise((1 - part) * low + part * high).alias("quantile"))
     )
 
 

@@ -26,6 +26,7 @@ p AS (SELECT CAST(pfaf_id AS BIGINT) AS pfaf, avg(bau30_ws_x_r) AS ws_2030,
 f AS (SELECT country, avg(ws_2030) AS ws_2030, avg(ws_2050) AS ws_2050, avg(iv_2050) AS iv_2050
   FROM p JOIN m USING (pfaf) GROUP BY 1),
 both_ AS (SELECT * FROM b JOIN f USING (country)),
+any_ AS (SELECT * FROM b FULL JOIN f USING (country)),
 cc AS (SELECT trim(country) AS country, trim(continent) AS continent FROM continents)"""
 
 
@@ -42,6 +43,11 @@ def _later(spark: SparkSession, sf_dir: str) -> DataFrame:
     return countries.country_future(future, _baseline(spark, sf_dir))
 
 
+def _any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each country with what is known of it: one without projections keeps its present answers."""
+    return _now(spark, sf_dir).join(_later(spark, sf_dir), "country", "full")
+
+
 def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _now(spark, sf_dir).join(_later(spark, sf_dir), "country")
 
@@ -87,13 +93,13 @@ def country_list_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"{WITH} "
     + " UNION ALL ".join(
-        f"""SELECT '{question}' AS question, country, round({metric}, 4) AS value FROM both_
+        f"""SELECT '{question}' AS question, country, round({metric}, 4) AS value FROM any_
         WHERE country = '{country}'"""
         for question, metric, country in countries.COUNTRY_QUESTIONS
     )
 )
 def country_single_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return countries.country_values(_both(spark, sf_dir), countries.COUNTRY_QUESTIONS)
+    return countries.country_values(_any(spark, sf_dir), countries.COUNTRY_QUESTIONS)
 
 
 @query(
@@ -147,12 +153,12 @@ def country_flood_rising(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"{WITH} "
     + " UNION ALL ".join(
         f"""SELECT {number} AS number, '{question}' AS question, country,
-          round({metric}, 4) AS value FROM both_ WHERE country IN ('{one}', '{two}')"""
+          round({metric}, 4) AS value FROM any_ WHERE country IN ('{one}', '{two}')"""
         for number, (question, metric, one, two) in enumerate(countries.COUNTRY_COMPARISONS, 1)
     )
 )
 def country_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return countries.compare_countries(_both(spark, sf_dir), countries.COUNTRY_COMPARISONS)
+    return countries.compare_countries(_any(spark, sf_dir), countries.COUNTRY_COMPARISONS)
 
 
 @query("SELECT n_nationkey, trim(n_name) AS n_name FROM nation WHERE n_name ILIKE 'nation_1%'")

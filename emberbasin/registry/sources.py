@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from emberbasin.fixtures import duck, fixture, table
 from emberbasin.operators.cleaning import clean_detections, clean_region_lookup
-from emberbasin.plans.spread import spread
-from emberbasin.registry.base import query, scratch
+from emberbasin.plans.local import local_rows
+from emberbasin.registry.base import ORACLES, query, scratch
 from emberbasin.registry.cleaning import BASELINE_VALUES, CLEAN_FEED, marked
-from emberbasin.schemas import FEED, FIRES
+from emberbasin.schemas import FEED, FIRES, REGION_TABLE, WATER_TABLES
 from emberbasin.sources import files, tables
-from emberbasin.streaming.ingest import once_per_key, start_ingest
+from emberbasin.streaming.ingest import once_per_key, start_ingest, stream_feed_pages
 
 
 @query(
@@ -49,14 +49,19 @@ def source_continents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def _land_pages(feed: DataFrame, path: str) -> None:
+    """The feed as JSON pages of up to 100 features, one page a file."""
+    row = F.struct(F.struct(*[F.col(c) for c in feed.columns]).alias("attributes"))
+    number = F.pmod(F.xxhash64(*feed.columns), F.lit(1 + feed.count() // 50))
+    pages = feed.groupBy(number.alias("page")).agg(F.collect_list(row).alias("features"))
+    pages.select("features").write.option("maxRecordsPerFile", 1).json(path)
+
+
 @query(f"{duck('feed')} SELECT * FROM feed")
 def source_feed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark, "lines")
-    feed = fixture(spark, sf_dir, "feed").select(*FEED.fieldNames())
-    page = F.struct(F.array(F.struct(F.struct(*FEED.fieldNames()).alias("attributes"))).alias("features"))
-    feed.select(page.alias("page")).select("page.*").write.json(path)
-    pages = spark.read.schema(files.FEED_PAGE).json(path)
-    return files.explode_pages(pages)
+    path = scratch(spark, "pages")
+    _land_pages(fixture(spark, sf_dir, "feed").select(*FEED.fieldNames()), path)
+    return files.read_feed_pages(spark, path)
 
 
 def _new_table(spark: SparkSession, name: str) -> str:
@@ -67,7 +72,7 @@ def _new_table(spark: SparkSession, name: str) -> str:
 
 @query(f"{CLEAN_FEED} SELECT DISTINCT * FROM clean")
 def source_incremental_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = clean_detections(fixture(spark, sf_dir, "feed", spread_out=True))
+    rows = clean_detections(fixture(spark, sf_dir, "feed"))
     name = _new_table(spark, "detections")
     early = rows.where(F.col("hours_old") > 240)
     tables.append_detections(early, name)
@@ -78,7 +83,7 @@ def source_incremental_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{CLEAN_FEED} SELECT uid FROM clean WHERE hours_old <= 240")
 def source_unseen_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = clean_detections(fixture(spark, sf_dir, "feed", spread_out=True))
+    rows = clean_detections(fixture(spark, sf_dir, "feed"))
     stored = rows.where(F.col("hours_old") > 240)
     return tables.unseen(rows, stored, within_batch=False).select("uid")
 
@@ -86,7 +91,7 @@ def source_unseen_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{CLEAN_FEED} SELECT count(*) AS rows, '2024-01-31_P2' AS name FROM clean")
 def source_numbered_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "exports")
-    rows = clean_detections(fixture(spark, sf_dir, "feed", spread_out=True))
+    rows = clean_detections(fixture(spark, sf_dir, "feed"))
     files.export_numbered(rows, folder, "cleaned", date(2024, 1, 31))
     path = files.export_numbered(rows, folder, "cleaned", date(2024, 1, 31))
     written = files.read_csv(spark, path, rows.schema)
@@ -159,21 +164,17 @@ def source_query_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     WHERE NOT (i = len(a) AND a[i] = '')"""
 )
 def source_document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.document_lines(
-        spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    )
+    return files.document_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @query(f"{CLEAN_FEED} SELECT DISTINCT * FROM clean")
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The landed pages as a stream into a new table; a second run over the same pages adds nothing."""
     path = scratch(spark, "landed")
-    feed = fixture(spark, sf_dir, "feed").select(*FEED.fieldNames())
-    feed.write.parquet(path)
+    _land_pages(fixture(spark, sf_dir, "feed").select(*FEED.fieldNames()), path)
     name = _new_table(spark, "stream")
     for run in ("first", "second"):
-        source = spark.readStream.schema(feed.schema).parquet(path)
-        start_ingest(source, name, f"{path}-{run}", available_now=True).awaitTermination()
+        start_ingest(stream_feed_pages(spark, path), name, f"{path}-{run}", available_now=True).awaitTermination()
     return spark.table(name).select(*FIRES.fieldNames())
 
 
@@ -190,3 +191,104 @@ def stream_once_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"{path}/out"
     ).awaitTermination()
     return spark.read.schema("uid string").parquet(f"{path}/out")
+
+
+class _Store:
+    """A database of its own, dropped with its tables at the end."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root = spark, scratch(spark, name)
+        self.database = f"{name}_{self.root.rsplit('-', 1)[1]}"
+
+    def __enter__(self) -> _Store:
+        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.database}")
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.spark.sql(f"DROP DATABASE IF EXISTS {self.database} CASCADE")
+
+    def csv(self, name: str, rows: DataFrame) -> str:
+        path = f"{self.root}/csv/{name}"
+        files.write_csv(rows, path)
+        return path
+
+    def table(self, name: str) -> str:
+        return f"{self.database}.{name}"
+
+    def counts(self) -> list[tuple[str, int]]:
+        """Tables in the order of the catalog listing, with their rows."""
+        names = [r["dataset"] for r in tables.list_datasets(self.spark, [self.database]).collect()]
+        return [(n.rsplit(".", 1)[1], self.spark.table(n).count()) for n in names]
+
+
+COUNTS = 'step string, position int, "table" string, rows bigint'.replace('"', "`")
+
+
+def _steps(spark: SparkSession, steps: dict[str, list[tuple[str, int]]]) -> DataFrame:
+    rows = [(step, i, name, n) for step, found in steps.items() for i, (name, n) in enumerate(found)]
+    return local_rows(spark, rows, COUNTS)
+
+
+@query(
+    """WITH o AS (SELECT count(*) AS n FROM orders), c AS (SELECT count(*) AS n FROM customer)
+    SELECT 'loaded' AS step, 0::INTEGER AS position, 'customers' AS "table", n AS rows FROM c
+    UNION ALL SELECT 'loaded', 1, 'orders', n FROM o
+    UNION ALL SELECT 'loaded again', 0, 'orders', n FROM o
+    UNION ALL SELECT 'missing made', 0, 'customers', n FROM c
+    UNION ALL SELECT 'missing made', 1, 'orders', n FROM o"""
+)
+def source_load_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables anew from their CSVs, one of which is then gone, and then only what is missing."""
+    with _Store(spark, "load") as store:
+        paths = {
+            store.table("orders"): store.csv("orders", table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")),
+            store.table("customers"): store.csv("customers", table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")),
+        }
+        steps = {}
+        tables.load_tables(spark, paths)
+        steps["loaded"] = store.counts()
+        tables.load_tables(spark, paths | {store.table("customers"): f"{store.root}/not-there"})
+        steps["loaded again"] = store.counts()
+        tables.ensure_tables(spark, paths)
+        steps["missing made"] = store.counts()
+    return _steps(spark, steps)
+
+
+def _built(name: str, text: str) -> str:
+    return f"SELECT '{name}' AS name, count(*) AS n FROM ({text})"
+
+
+@query(
+    "WITH built AS ("
+    + " UNION ALL ".join(
+        _built(name.lower(), ORACLES[q])
+        for name, q in zip(WATER_TABLES, ("clean_baseline_annual", "clean_baseline_monthly", "clean_future_annual"))
+    )
+    + f""" UNION ALL {_built(REGION_TABLE.lower(), f"{duck('baseline')}, clean AS (SELECT {marked(BASELINE_VALUES)} FROM baseline) SELECT DISTINCT name_0, pfaf_id, name_1, area_km2, gid_0 FROM clean WHERE name_0 IS NOT NULL AND name_1 IS NOT NULL AND gid_0 IS NOT NULL")})
+    SELECT 'built' AS step, CAST(row_number() OVER (ORDER BY name) - 1 AS INTEGER) AS position, name AS "table", n AS rows FROM built"""
+)
+def source_build_water(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The preprocessing chain: raw CSVs to cleaned tables."""
+    with _Store(spark, "water") as store:
+        raw = [store.csv(name, fixture(spark, sf_dir, name)) for name in ("baseline", "monthly", "future")]
+        tables.build_water_tables(spark, *raw, database=store.database)
+        return _steps(spark, {"built": store.counts()})
+
+
+@query(
+    """WITH t AS (SELECT count(*) AS n FROM orders)
+    SELECT 'orders' AS dataset, true AS there, n AS rows, position, "column", type
+    FROM t, (VALUES (0, 'o_orderkey', 'bigint'), (1, 'o_totalprice', 'double'), (2, 'o_orderstatus', 'string')) v(position, "column", type)
+    UNION ALL SELECT 'nothing', false, NULL, NULL, NULL, NULL"""
+)
+def source_dataset_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row count, columns and types of a table, and the answer for a table that isn't there."""
+    with _Store(spark, "info") as store:
+        orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("double"), "o_orderstatus")
+        tables.save_table(orders, store.table("orders"))
+        rows = []
+        for name in ("orders", "nothing"):
+            there, info = tables.table_exists(spark, store.table(name)), tables.dataset_info(spark, store.table(name))
+            found = [tuple(r) for r in info.select("rows", "position", "column", "type").collect()] if info else [(None,) * 4]
+            rows += [(name, there, *r) for r in found]
+    return local_rows(spark, rows, "dataset string, there boolean, rows bigint, position int, `column` string, type string")

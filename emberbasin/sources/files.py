@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberbasin.functions.columns import named, strip
+from emberbasin.functions.columns import named, number, strip
 from emberbasin.operators.countries import continents
 from emberbasin.operators.text import LINE_BREAK
 from emberbasin.schemas import FEED_PAGE
@@ -45,7 +45,7 @@ def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
     tests: list[Column] = []
     for i, c in enumerate(masked.columns):
         value = strip(named(c))
-        bad = [value.isNotNull() & value.try_cast(kind).isNull() for kind in ("bigint", "double")]
+        bad = [value.isNotNull() & number(value, kind).isNull() for kind in ("bigint", "double")]
         tests += [F.count_if(bad[0]).alias(f"i{i}"), F.count_if(bad[1]).alias(f"d{i}")]
         tests.append(F.count(value).alias(f"n{i}"))
     found = masked.agg(*tests).first()
@@ -54,7 +54,7 @@ def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
         value = named(c)
         if not found[f"n{i}"] or not found[f"d{i}"]:
             whole = found[f"n{i}"] and not found[f"i{i}"]
-            value = strip(value).try_cast("bigint" if whole else "double")
+            value = number(strip(value), "bigint" if whole else "double")
         typed.append(value.alias(c))
     return masked.select(*typed)
 

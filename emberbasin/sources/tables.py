@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from datetime import date
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberbasin.functions.columns import named
-from emberbasin.functions.filters import DAY_COLUMN, prune_days
+from emberbasin.functions.filters import DAY_COLUMN
 from emberbasin.operators.cleaning import (
     clean_baseline_annual,
     clean_baseline_monthly,
@@ -86,25 +87,32 @@ def unseen(
     return fresh.select(*batch.columns)
 
 
+def on_days(fires: DataFrame, days: Sequence[date | None]) -> DataFrame:
+    """The partitions of these days; None stands for rows without a time."""
+    known = [d for d in days if d is not None]
+    wanted = F.col(DAY_COLUMN).isin(known) if known else F.lit(False)
+    return fires.where(wanted | F.col(DAY_COLUMN).isNull() if None in days else wanted)
+
+
 def append_detections(
     batch: DataFrame, name: str = FIRE_TABLE, within_batch: bool = True
 ) -> DataFrame:
     """Appends the cleaned rows whose uid is new to the fire table and returns the table.
 
-    A uid contains the acquisition time, so only the stored days that the batch
-    covers can hold it: the stored side is pruned to those partitions. Columns go
-    by name, missing ones become null. Writing the same batch again adds nothing.
+    A uid contains the acquisition time, so only the days that the batch has rows of can hold it:
+    the stored side is pruned to those partitions, that of rows without a time among
+    them. Columns go by name, missing ones become null. Writing the same batch again adds nothing.
     The file listing is refreshed first: another session, such as a stream's, may
     have written since this one last looked.
     """
     spark = batch.sparkSession
     table = full_name(name)
     dated = batch.withColumn(DAY_COLUMN, F.to_date("acquisition_timestamp"))
-    first, last = dated.agg(F.min(DAY_COLUMN), F.max(DAY_COLUMN)).first()
-    if first is None:
+    days = [r[0] for r in dated.select(DAY_COLUMN).distinct().collect()]  # a row for each day
+    if not days:
         return spark.table(table)
     spark.catalog.refreshTable(table)
-    stored = prune_days(spark.table(table), first, last)
+    stored = on_days(spark.table(table), days)
     fresh = unseen(dated, stored, within_batch=within_batch)
     missing = {
         f.name: F.lit(None).cast(f.dataType) for f in FIRES.fields if f.name not in fresh.columns
@@ -157,7 +165,7 @@ def ensure_tables(
 
 
 def build_water_tables(
-    spark: SparkSession, raw_annual: str, raw_monthly: str, raw_future: str
+    spark: SparkSession, raw_annual: str, raw_monthly: str, raw_future: str, database: str = DATABASE
 ) -> list[str]:
     """Raw CSVs cleaned and saved as the three water tables and the region lookup."""
     annual = read_raw_csv(spark, raw_annual)
@@ -169,7 +177,7 @@ def build_water_tables(
     ]
     names = [*WATER_TABLES, REGION_TABLE]
     for name, rows in zip(names, cleaned):
-        save_table(rows, name)
+        save_table(rows, full_name(name, database))
     return names
 
 

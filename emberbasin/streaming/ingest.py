@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -56,7 +57,12 @@ def start_ingest(
     root = checkpoint or f"{shared_root(feed.sparkSession)}/ingest/{table}"
 
     def append(batch: DataFrame, _: int) -> None:
-        append_detections(batch, table)
+        # The append looks at the batch twice; pages are parsed, and state is read, once.
+        kept = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            append_detections(kept, table)
+        finally:
+            kept.unpersist()
 
     detections = clean_detections(feed)
     if lateness is not None:

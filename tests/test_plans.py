@@ -26,7 +26,7 @@ def test_split_hot_join_is_the_plain_join(skewed, rows, how):
 
 def test_hot_keys_are_few_and_split_in_proportion(skewed, rows):
     hot = {k: n for k, n in rows(joins.hot_keys(skewed[0], ["k"]))}
-    assert hot[1] == joins.MAX_SPLITS and len(hot) < joins.HOT_SHARE
+    assert hot[1] > 1 and len(hot) < joins.HOT_SHARE
 
 
 def test_a_hot_key_lands_in_many_tasks(spark, skewed):

@@ -12,7 +12,7 @@ def duck():
     return oracle.connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", [q for q in entry.queries() if q in entry.oracle_sql()])
 def test_query_matches_sql(spark, duck, name):
     ours = entry.queries()[name](spark, SF_DIR).toArrow()
     theirs = duck.execute(entry.oracle_sql()[name]).to_arrow_table()
