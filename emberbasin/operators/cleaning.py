@@ -30,6 +30,7 @@ from emberbasin.functions.names import (
 )
 from emberbasin.operators.profiling import long_form, modes, numeric_columns, text_columns
 from emberbasin.operators.water import region_lookup
+from emberbasin.plans.lineage import cut_lineage
 from emberbasin.plans.quantiles import GATHER_ROWS, exact_quantiles
 from emberbasin.schemas import FEED_NAMES, FIRES, LOADED_CONFIDENCE
 
@@ -197,7 +198,7 @@ def clean_detections(feed: DataFrame) -> DataFrame:
 
 def impute_baseline_annual(raw: DataFrame, distributed: bool | None = None) -> DataFrame:
     """Copies dropped, all markers to null, mostly-null columns dropped, medians and modes filled in."""
-    return impute(null_fills(raw.dropDuplicates()), NULL_SHARE, distributed)
+    return impute(cut_lineage(null_fills(raw.dropDuplicates())), NULL_SHARE, distributed)
 
 
 def impute_future_annual(raw: DataFrame, distributed: bool | None = None) -> DataFrame:
@@ -214,7 +215,8 @@ def impute_baseline_monthly(raw: DataFrame, distributed: bool | None = None) ->
     """Long upper-case names with month names, copies dropped, markers to null, gaps filled in."""
     long_names = rename(raw, monthly_long_names())
     kept = rename_all(long_names, upper_squeezed).dropDuplicates()
-    marked = null_fills(kept, numeric_columns(kept))
+    # Written once: nulls, medians, modes and the result all read it.
+    marked = cut_lineage(null_fills(kept, numeric_columns(kept)))
     filled = impute(marked, distributed=distributed)
     return filled.toDF(*month_names(filled.columns))
 

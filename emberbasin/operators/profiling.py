@@ -50,14 +50,21 @@ def _per_column(df: DataFrame, columns: Sequence[str], measures: dict[str, objec
     return df.agg(*aggregates).select(F.inline(F.array(*cells)))
 
 
+def one_zero(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns with -0.0 as 0.0, which are one value but two texts."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    floating = [c for c in columns if isinstance(kinds[c], (T.DoubleType, T.FloatType))]
+    return df.withColumns({c: (named(c) + F.lit(0.0)).cast(kinds[c]) for c in floating}) if floating else df
+
+
 def value_frequencies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``column, value, n`` over the known values as text.
 
     Equal values are counted before the shuffle, so a value that fills a column
-    reaches its task as one row per input task.
+    reaches its task as one row per input task. Both zeros are one value.
     """
     return (
-        long_form(df, columns, "string")
+        long_form(one_zero(df, columns), columns, "string")
         .where("value IS NOT NULL")
         .groupBy("column", "value")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -135,7 +142,8 @@ def approximate_distinct_counts(
         sketch = F.hll_sketch_agg(value.cast("string"), lg_size)
         return F.coalesce(F.hll_sketch_estimate(sketch), F.lit(0))
 
-    return _per_column(df, list(columns or df.columns), {"unique_count": estimate})
+    names = list(columns or df.columns)
+    return _per_column(one_zero(df, names), names, {"unique_count": estimate})
 
 
 def cardinality_flags(df: DataFrame) -> DataFrame:

@@ -201,12 +201,10 @@ def fires_time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{WITH} SELECT satellite, confidence, day_night, hours_old, count(*) AS dup_count
-    FROM fires GROUP BY ALL HAVING count(*) > 1"""
+    f"""{duck('feed')} SELECT *, count(*) AS dup_count FROM feed GROUP BY ALL HAVING count(*) > 1"""
 )
 def fires_duplicate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _fires(spark, sf_dir).select("satellite", "confidence", "day_night", "hours_old")
-    return fires.duplicate_rows(rows)
+    return fires.duplicate_rows(fixture(spark, sf_dir, "feed"))
 
 
 @query(

@@ -94,13 +94,11 @@ def profile_most_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH t AS (SELECT lang, source, n_chars FROM documents)
-    SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM t)) AS duplicate_rows FROM t"""
+    f"""{duck('feed')}
+    SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM feed)) AS duplicate_rows FROM feed"""
 )
 def profile_duplicate_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiling.duplicate_count(
-        table(spark, sf_dir, "documents").select("lang", "source", "n_chars")
-    )
+    return profiling.duplicate_count(fixture(spark, sf_dir, "feed"))
 
 
 @query("SELECT count(*) AS rows, 11 AS columns FROM lineitem")
