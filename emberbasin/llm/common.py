@@ -53,8 +53,11 @@ def stored(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder: what is large is compressed there, and read by columns."""
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def text_key(text: Column) -> list[Column]:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberbasin.llm.common import mixed64, several, slices, string_bytes, text_key
+from emberbasin.llm.common import mixed64, several, slices, string_bytes, text_key, written
 from emberbasin.llm.shingles import BASES, STEP, powers
 
 LENGTH = 200
@@ -40,9 +40,9 @@ BLOCK = 8_000_000
 PLACE = np.uint64((1 << 24) - 1)
 #: Windows of a run.
 MOST = 1024
-#: Bytes of a shard's suffix array, and different segments of a name in a shard.
+#: Bytes of a shard's suffix array, and as many different segments of a name as usually make that up.
 SHARD = 1_200_000
-SEGMENTS = 2_000
+SEGMENTS = SHARD // 300
 
 
 class Bytes:
@@ -381,17 +381,19 @@ def cut_out(texts: DataFrame, keep_text: bool) -> DataFrame:
 def repeats_removed(docs: DataFrame, keep_text: bool = False, length: int = LENGTH, seed: int = SEED, text: str = "text") -> DataFrame:
     """k1, k2, n_removed, n_spans, kept_sha256 (and kept bytes) of each different text that loses bytes; join by :func:`text_key`."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    long_ones = docs.select(body.alias("text")).filter(F.octet_length("text") >= length)
-    base = long_ones.select(*text_key(F.col("text")), "text").groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    every = runs(base, length, seed)
+    long_ones = docs.select(body.alias("text")).filter(F.octet_length("text") >= length).select(*text_key(F.col("text")), "text")
+    every = runs(long_ones, length, seed).withColumn("_place", F.xxhash64("k1", "k2", "at"))
+    # A name of two places or more, copies of a text aside; counted before the shuffle.
     again = every.groupBy("h").agg(
-        F.count(F.lit(1)).alias("_rows"), F.min("d").alias("_low"), F.max("d").alias("_high"), F.max("tied").alias("_tied")
-    ).filter("_rows > 1 OR _tied")
-    found = every.join(again, "h")
+        F.min("_place").alias("_from"), F.max("_place").alias("_to"), F.min("d").alias("_low"), F.max("d").alias("_high"), F.max("tied").alias("_tied")
+    ).filter("_from <> _to OR _tied").select("h", "_low", "_high", (F.col("_from") != F.col("_to")).alias("_several"))
+    # Read three times below, so it is written once.
+    found = written(every.drop("_place", "tied").join(again, "h"), "runs").dropDuplicates(["h", "k1", "k2", "at"])
+    base = long_ones.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     span = ["k1", "k2", F.col("at").alias("low"), (F.col("at") + F.col("n") + (length - 1)).alias("high")]
     # One segment, on several places: all of its windows are repeats.
-    solid = found.filter("_rows > 1 AND _low = _high").select(*span)
-    mixed = found.filter("_low < _high OR (_rows = 1 AND _tied)").select("h", "d", "k1", "k2", "at", "n")
+    solid = found.filter("_several AND _low = _high").select(*span)
+    mixed = found.filter("NOT (_several AND _low = _high)").select("h", "d", "k1", "k2", "at", "n")
     kinds = mixed.groupBy("h", "d").agg(F.count(F.lit(1)).alias("_times"), F.min(F.struct("k1", "k2", "at", "n")).alias("one"))
     copied = mixed.join(kinds.filter("_times > 1").select("h", "d"), ["h", "d"]).select(*span)
     parts = kinds.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / SEGMENTS).cast("int").alias("parts")).filter("parts > 1")
