@@ -22,9 +22,9 @@ MOST_RANGES = 65_536
 RANGE_ROWS = 256
 
 
-def with_anchors(rows: DataFrame, text: str, out: str = "anchors", k: int = K, s: int = S) -> DataFrame:
-    """Adds ``out``: an array of (position in pieces, value), in order of position."""
-    names = [c for c in rows.columns if c != out]
+def with_anchors(rows: DataFrame, text: str, out: str = "anchors", k: int = K, s: int = S, places: str | None = None) -> DataFrame:
+    """Adds ``out``, the array of anchors in their order, and under the name ``places``, if given, the piece each starts at."""
+    names = [c for c in rows.columns if c not in (out, places)]
     pieces = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(PIECE), F.lit(0))
     cut = rows.select(*names, pieces.alias("_p"))
     smers = F.transform(
@@ -45,24 +45,27 @@ def with_anchors(rows: DataFrame, text: str, out: str = "anchors", k: int = K, s
 
     def anchor(i: Column) -> Column:
         steps = sorted({*range(0, last, s), last})  # s-mers that cover the k-mer
-        return F.struct(i.alias("position"), F.xxhash64(*[at(i, j) for j in steps]).alias("value"))
+        return F.xxhash64(*[at(i, j) for j in steps])
 
-    found = F.transform(F.filter(F.sequence(F.lit(0), F.col("_n") - k), closed), anchor)
-    whole = F.array(F.struct(F.lit(0).alias("position"), F.get("_h", F.lit(0)).alias("value")))
-    none = F.array().cast("array<struct<position:int,value:bigint>>")
-    return hashed.select(*names, F.when(F.col("_n") == 0, none).when(F.col("_n") < k, whole).otherwise(found).alias(out))
+    kept = F.filter(F.sequence(F.lit(0), F.col("_n") - k), closed)
+    none = F.array().cast("array<int>")
+    starts = hashed.select(
+        *names, "_n", "_h", F.when(F.col("_n") == 0, none).when(F.col("_n") < k, F.array(F.lit(0))).otherwise(kept).alias("_at")
+    )
+    value = F.when(F.col("_n") < k, F.get("_h", F.lit(0)))
+    found = F.when(F.col("_n") < k, F.transform("_at", lambda i: value)).otherwise(F.transform("_at", anchor))
+    return starts.select(*names, found.alias(out), *([F.col("_at").alias(places)] if places else []))
 
 
 def digest(anchors: Column) -> Column:
     """32 hexadecimal digits that stand for the values of the anchors in their order."""
-    values = anchors["value"]
     half = lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")
-    return F.concat(half(F.xxhash64(values)), half(F.xxhash64(F.lit(1), values)))
+    return F.concat(half(F.xxhash64(anchors)), half(F.xxhash64(F.lit(1), anchors)))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Shared values as a share of the mean number of values, 0 to 1; 1 where neither has any."""
-    own, other = F.array_distinct(a["value"]), F.array_distinct(b["value"])
+    own, other = F.array_distinct(a), F.array_distinct(b)
     total = F.size(own) + F.size(other)
     return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(own, other)) / total)
 
