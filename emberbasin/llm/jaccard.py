@@ -6,7 +6,7 @@
    ``n - ceil(t * n) + 1`` shingles: two sets that reach t share one of these. Only the listed shingles are
    shuffled, and those that a single class lists end there.
 3. A class lives at its first shared shingle (its home), and visits every other home that has a class with
-   which it shares a listed shingle. Homes of many shingles are split. So any two classes that may link meet once each way.
+   which it shares a listed shingle, unless sizes and places rule a link out. Homes of many shingles are split. So any two classes that may link meet once each way.
 4. At each home an inverted index over its classes is searched for each visitor with DivideSkip: the T-occurrence bound is
    the least overlap that t allows, the longest lists are set aside, the short ones are merged into counts,
    and what reaches the rest of the bound is looked up in the long ones by binary search. The exact overlap then decides.
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberbasin.llm.common import mixed64, several, slices, stored
+from emberbasin.llm.common import mixed64, several, slices, stored, written
 from emberbasin.llm.graph import components
 from emberbasin.llm.shingles import WORDS, Hasher, sequence_hashes, shingle_sets
 
@@ -40,6 +40,8 @@ COUNTED = 3_000_000
 #: A shingle counts as recurring from so often within what a task counts at a time; so many are kept, the most frequent.
 OFTEN = 4
 RECURRING = 100_000
+#: Copies that a task remembers before it forgets them all.
+SEEN = 300_000
 #: Shingles of a home's classes that one index takes.
 INDEX = 400_000
 #: DivideSkip's weight of a probe against a merge.
@@ -89,30 +91,36 @@ def scanned(docs: DataFrame, size: int = WORDS) -> DataFrame:
     return rows.mapInArrow(scan, "doc_id long, mark long, c1 long, c2 long, n long, often long")
 
 
-def listed(base: DataFrame, order, percent: int, size: int) -> DataFrame:
-    """rep, n and the listed shingles ``s``, in order, of each class's text."""
+def listed(rows: DataFrame, order, percent: int, size: int) -> DataFrame:
+    """c1, n and the listed shingles ``s``, in order, of each text; copies that a task has seen already are left out."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, (known, rank) = Hasher(), order.value
+        hasher, (known, rank), seen = Hasher(), order.value, set()
         for batch in slices(batches, "text", SLICE):
-            words, at = hasher.words(batch.column(1))
-            lists = []
-            sets = shingle_sets(words, at, size)
-            for one in sets:
-                length = listed_length(len(one), percent) if len(one) else 0
-                if length and len(known):
+            words, at = hasher.words(batch.column(0))
+            c1, c2 = sequence_hashes(words, at)
+            names, counts, lists = [], [], []
+            for a, b, one in zip(c1.tolist(), c2.tolist(), shingle_sets(words, at, size)):
+                if len(one) < 2 or (a, b) in seen:  # sets of one shingle link with equal ones only
+                    continue
+                seen.add((a, b))
+                if len(known):
                     place = np.minimum(np.searchsorted(known, one), len(known) - 1)
                     level = np.where(known[place] == one, rank[place], 0)
                     one = one[np.argsort(level, kind="stable")] if level.any() else one
-                lists.append(one[:length])
+                names.append(a)
+                counts.append(len(one))
+                lists.append(one[: listed_length(len(one), percent)])
+            if len(seen) > SEEN:
+                seen.clear()
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-            flat = np.concatenate(lists).view(np.int64) if len(lists) else np.zeros(0, np.int64)
+            flat = np.concatenate(lists).view(np.int64) if lists else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                ["rep", "n", "s"],
+                [pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(counts, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                ["c1", "n", "s"],
             )
 
-    return base.select("rep", "text").mapInArrow(work, "rep long, n int, s array<long>")
+    return rows.select("text").mapInArrow(work, "c1 long, n int, s array<long>")
 
 
 def sent(base: DataFrame, size: int) -> DataFrame:
@@ -288,32 +296,43 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = WORDS,
         F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark"))).alias("first"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n")
     )
     classes = stored(classes.select("c1", "c2", F.col("first.doc_id").alias("rep"), F.col("first.mark").alias("mark"), "copies", "n"))
-    # Sets of one shingle link with equal ones only.
-    reps = classes.filter("rep IS NOT NULL AND n > 1").select("rep", "mark", "copies")
-    base = (
-        rows.filter("doc_id IS NOT NULL").withColumnRenamed("doc_id", "rep").join(reps.hint("shuffle_merge"), ["rep", "mark"])
-        .dropDuplicates(["rep", "mark"])
-    )
-
-    tokens = listed(base, order, percent, size).select("rep", "n", F.posexplode("s").alias("pos", "s"))
-    window = "OVER (PARTITION BY s ORDER BY rep)"
-    shared = stored(
-        tokens.select("s", "rep", "pos", "n", F.expr(f"lag(rep) {window}").alias("_a"), F.expr(f"lead(rep) {window}").alias("_b"))
-        .filter("_a IS NOT NULL OR _b IS NOT NULL").select("s", "rep", "pos", "n")
+    reps = classes.filter("rep IS NOT NULL AND n > 1").select("c1", "rep", "mark", "copies")
+
+    tokens = listed(rows, order, percent, size).select("c1", "n", F.posexplode("s").alias("pos", "s"))
+    window = "OVER (PARTITION BY s ORDER BY c1)"
+    shared = (
+        tokens.select("s", "c1", "pos", "n", F.expr(f"lag(c1) {window}").alias("_a"), F.expr(f"lead(c1) {window}").alias("_b"), F.expr("first(c1) OVER (PARTITION BY s ORDER BY c1)").alias("_f"))
+        .filter("(_b IS NOT NULL AND _b <> c1) OR (_a IS NOT NULL AND _f <> c1)")
+        .select("s", "c1", "pos", "n")
     )
+    # Where two classes had one c1, both would go where either has to.
+    shared = written(shared.join(reps.select("c1", "rep"), "c1").select("s", "rep", "pos", "n"), "shared")
     homes = stored(shared.groupBy("rep").agg(F.min(F.struct("pos", "s"))["s"].alias("home"), F.max("n").alias("n")))
-    parts = homes.groupBy("home").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / INDEX)).cast("int").alias("parts"))
-    met = shared.select("s", "rep").join(homes.select("rep", "home"), "rep")
-    # Shingles of more than one home make classes visit other homes.
-    at = met.groupBy("s", "home").agg(F.lit(1).alias("_one"))
-    many = at.groupBy("s").agg(F.count(F.lit(1)).alias("_homes")).filter("_homes > 1").select("s")
-    at = at.join(many, "s").select("s", "home")
-    away = (
-        met.withColumnRenamed("home", "own").join(at, "s").filter("own <> home").groupBy("rep", "home").agg(F.lit(False).alias("own"))
+    live = homes.groupBy("home").agg(F.count(F.lit(1)).alias("members"), F.greatest(F.lit(1), F.ceil(F.sum("n") / INDEX)).cast("int").alias("parts"))
+    # Shingles of more than one home make classes visit other homes: where a set's size, and the places of the shingle, leave room for
+    # the overlap. At the first shingle that two sets share, what is left of either from there on has to hold it all.
+    met = shared.join(homes.select("rep", F.col("home").alias("own")), "rep")
+    grade = F.floor(F.log("n") * 8).cast("int")
+    at = met.groupBy("s", F.col("own").alias("home"), grade.alias("_grade")).agg(F.min("n").alias("_low"), F.max("n").alias("_high"), F.min("pos").alias("_pos"))
+    many = at.groupBy("s").agg(F.min("home").alias("_x"), F.max("home").alias("_y")).filter("_x <> _y").select("s")
+    least = f"{percent} * (n + _low)"
+    room = (
+        f"own <> home AND {percent} * n <= 100 * _high AND {percent} * _low <= 100 * n "
+        f"AND {least} <= {100 + percent} * (n - pos) AND {least} <= {100 + percent} * (_high - _pos)"
     )
-    visits = homes.select("rep", "home", F.lit(True).alias("own")).unionByName(away)
-    visits = visits.join(parts, "home").groupBy("rep").agg(F.collect_list(F.struct("home", "parts", "own")).alias("visits"))
-    found = stored(searched(sent(base.join(visits, "rep"), size), percent))
+    there = at.join(many, "s")
+    away = met.alias("m").join(there.alias("t"), F.expr(f"m.s = t.s AND {room}")).select("m.rep", "t.home").distinct()
+    away = written(away, "visits")
+    # A home of one class that nobody visits has nothing to search.
+    asked = live.join(away.select("home").distinct().withColumn("_asked", F.lit(True)), "home", "left").filter("members > 1 OR _asked")
+    visits = homes.select("rep", "home", F.lit(True).alias("own")).unionByName(away.withColumn("own", F.lit(False)))
+    visits = visits.join(asked.select("home", "parts"), "home").groupBy("rep").agg(F.collect_list(F.struct("home", "parts", "own")).alias("visits"))
+    wanted = reps.select("rep", "mark", "copies").join(visits, "rep")
+    base = (
+        rows.filter("doc_id IS NOT NULL").withColumnRenamed("doc_id", "rep").join(wanted, ["rep", "mark"])
+        .dropDuplicates(["rep", "mark"])
+    )
+    found = stored(searched(sent(base, size), percent))
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("node").alias("a"), F.col("peer").alias("b")))
