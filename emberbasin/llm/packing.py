@@ -26,7 +26,7 @@ from emberbasin.llm.common import slices, stored
 
 CAPACITY = 2048
 #: Rows that share a length are ranked in buckets of about this many.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 #: A worker that remembers more words than this forgets them all.
 CACHE_WORDS = 600_000
 #: Bytes of text encoded at a time.
@@ -266,9 +266,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         raise ValueError(f"lengths out of 1 to {capacity}: {bad[:5]}")
     plan = plan_sequences({r["length"]: r["count"] for r in lengths}, capacity)
     slots = slot_table(plan, capacity)
-    buckets = max(1, -(-sum(r["count"] for r in lengths) // BUCKET_ROWS))
     names = pieces.columns
-    dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*names), F.lit(buckets)))
+    # A length has buckets as its rows need them; a row a length, so at most ``capacity`` rows are broadcast.
+    buckets = spark.createDataFrame([(r["length"], -(-r["count"] // BUCKET_ROWS)) for r in lengths], "length long, _buckets long")
+    dealt = pieces.join(F.broadcast(buckets), "length").withColumn("_bucket", F.pmod(F.xxhash64(*names), F.col("_buckets")))
     # The rows before a bucket among those of its length, by two narrow sums.
     sums = dealt.groupBy("length", "_bucket").count()
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
