@@ -28,6 +28,8 @@ WEIGHTS = (5, 2, 1)
 REPEAT = 3
 #: Rows are rounded in buckets of about so many.
 BUCKET_ROWS = 20_000
+#: Tasks that the rows of one source are dealt to at least.
+SALTS = 64
 #: Parts of a word that sums of rates are counted in.
 UNIT = 1 << 20
 ROUNDS = 60
@@ -155,8 +157,11 @@ def mix(rows: DataFrame, keys: Sequence[str], weights: Sequence[float] = WEIGHTS
     tilts = balance(counts, goals, repeat)
     per_source = goals.alias("g").join(tilts.alias("t"), F.expr("g.source <=> t.source")).select("g.*", "t.tilt")
     scale = F.col("p.source_size") / F.col("p.source_rows")
-    joined = rows.alias("r").join(per_source.alias("p"), F.expr("r.source <=> p.source")).select(
-        "r.*", "p.source_size", "p.source_rows", "p.target",
+    # The rows of a source are dealt to many tasks, and its one row of figures is repeated for each.
+    salt = F.pmod(F.xxhash64(*keys), F.lit(SALTS))
+    each = per_source.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt"))
+    joined = rows.withColumn("_salt", salt).alias("r").join(each.alias("p"), F.expr("r.source <=> p.source AND r._salt = p._salt")).select(
+        *[f"r.{c}" for c in rows.columns], "p.source_size", "p.source_rows", "p.target",
         F.when(F.col("p.source_size") == 0, 1.0).otherwise(rate(F.col("p.tilt"), F.col("r.size"), scale, repeat)).alias("rate"),
     )
     return rounded_copies(joined, keys).drop("source_rows")
