@@ -38,8 +38,8 @@ PERCENT = 75
 SLICE = 2_000_000
 COUNTED = 3_000_000
 #: A shingle counts as recurring from so often within what a task counts at a time; so many are kept, the most frequent.
-OFTEN = 4
-RECURRING = 100_000
+OFTEN = 2
+RECURRING = 1_000_000
 #: Copies that a task remembers before it forgets them all.
 SEEN = 300_000
 #: Shingles of a home's classes that one index takes.
@@ -52,6 +52,10 @@ def listed_length(n: np.ndarray | int, percent: int = PERCENT):
     return n - -(-percent * n // 100) + 1
 
 
+def listed_sql(n: str, percent: int) -> str:
+    return f"({n} - ceil({percent} * {n} / 100) + 1)"
+
+
 def scanned(docs: DataFrame, size: int = WORDS) -> DataFrame:
     """Rows (doc_id, mark, c1, c2, n) of texts, and rows (c1, often) of shingles that recur, told apart by ``often``."""
 
@@ -281,7 +285,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = WORDS,
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).cast("string").alias("text")
     )
-    both = stored(scanned(rows, size))
+    both = written(scanned(rows, size), "classes")
     seen = both.filter("often IS NULL").drop("often")
     # A table of at most RECURRING numbers.
     often = (
@@ -308,25 +312,33 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = WORDS,
     # Where two classes had one c1, both would go where either has to.
     shared = written(shared.join(reps.select("c1", "rep"), "c1").select("s", "rep", "pos", "n"), "shared")
     homes = stored(shared.groupBy("rep").agg(F.min(F.struct("pos", "s"))["s"].alias("home"), F.max("n").alias("n")))
-    live = homes.groupBy("home").agg(F.count(F.lit(1)).alias("members"), F.greatest(F.lit(1), F.ceil(F.sum("n") / INDEX)).cast("int").alias("parts"))
-    # Shingles of more than one home make classes visit other homes: where a set's size, and the places of the shingle, leave room for
-    # the overlap. At the first shingle that two sets share, what is left of either from there on has to hold it all.
-    met = shared.join(homes.select("rep", F.col("home").alias("own")), "rep")
+    parts = homes.groupBy("home").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / INDEX)).cast("int").alias("parts"))
     grade = F.floor(F.log("n") * 8).cast("int")
-    at = met.groupBy("s", F.col("own").alias("home"), grade.alias("_grade")).agg(F.min("n").alias("_low"), F.max("n").alias("_high"), F.min("pos").alias("_pos"))
-    many = at.groupBy("s").agg(F.min("home").alias("_x"), F.max("home").alias("_y")).filter("_x <> _y").select("s")
-    least = f"{percent} * (n + _low)"
-    room = (
-        f"own <> home AND {percent} * n <= 100 * _high AND {percent} * _low <= 100 * n "
-        f"AND {least} <= {100 + percent} * (n - pos) AND {least} <= {100 + percent} * (_high - _pos)"
+    graded = homes.select("rep", F.col("home").alias("own"), grade.alias("own_grade"))
+    met = shared.join(graded, "rep")
+    at = met.groupBy("s", F.col("own").alias("home"), F.col("own_grade").alias("grade")).agg(
+        F.min("n").alias("_low"), F.max("n").alias("_high"), F.min("pos").alias("_pos"), F.count(F.lit(1)).alias("_members")
     )
-    there = at.join(many, "s")
-    away = met.alias("m").join(there.alias("t"), F.expr(f"m.s = t.s AND {room}")).select("m.rep", "t.home").distinct()
-    away = written(away, "visits")
-    # A home of one class that nobody visits has nothing to search.
-    asked = live.join(away.select("home").distinct().withColumn("_asked", F.lit(True)), "home", "left").filter("members > 1 OR _asked")
-    visits = homes.select("rep", "home", F.lit(True).alias("own")).unionByName(away.withColumn("own", F.lit(False)))
-    visits = visits.join(asked.select("home", "parts"), "home").groupBy("rep").agg(F.collect_list(F.struct("home", "parts", "own")).alias("visits"))
+    # A class visits a home where sizes and places leave room for the overlap: at the first shingle that two sets share, what is left of
+    # either from there on has to hold it all. And shared shingles past the list of one of the two are fewer than the overlap, so
+    # the lists have to share the rest.
+    sizes = f"(own <> home OR own_grade <> grade OR _members > 1) AND {percent} * n <= 100 * _high AND {percent} * _low <= 100 * n"
+    least, whole = f"{percent} * (n + _low)", 100 + percent
+    first = f"{least} <= {whole} * (n - pos) AND {least} <= {whole} * (_high - _pos)"
+    unlisted = f"greatest(n - {listed_sql('n', percent)}, _top - {listed_sql('_top', percent)})"
+    near = (
+        met.alias("m").join(at.alias("t"), F.expr(f"m.s = t.s AND {sizes}"))
+        .groupBy("m.rep", "t.home", "t.grade")
+        .agg(F.count(F.lit(1)).alias("_both"), F.max(F.expr(first)).alias("_first"), F.max("n").alias("n"), F.min("_low").alias("_low"), F.max("_high").alias("_top"))
+        .filter(f"_first AND {whole} * (_both + {unlisted}) >= {least}")
+        .select("rep", "home", "grade")
+    )
+    near = written(near, "visits")
+    # A class lives at its home only where one of its size is looked for.
+    asked = near.select("home", "grade").distinct()
+    living = graded.join(asked, (F.col("own") == F.col("home")) & (F.col("own_grade") == F.col("grade"))).select("rep", "home", F.lit(True).alias("own"))
+    visits = living.unionByName(near.select("rep", "home", F.lit(False).alias("own"))).groupBy("rep", "home").agg(F.max("own").alias("own"))
+    visits = visits.join(parts, "home").groupBy("rep").agg(F.collect_list(F.struct("home", "parts", "own")).alias("visits"))
     wanted = reps.select("rep", "mark", "copies").join(visits, "rep")
     base = (
         rows.filter("doc_id IS NOT NULL").withColumnRenamed("doc_id", "rep").join(wanted, ["rep", "mark"])
