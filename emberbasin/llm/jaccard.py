@@ -39,7 +39,7 @@ SLICE = 2_000_000
 COUNTED = 3_000_000
 #: A shingle counts as recurring from so often within what a task counts at a time; so many are kept, the most frequent.
 OFTEN = 2
-RECURRING = 1_000_000
+RECURRING = 200_000
 #: Copies that a task remembers before it forgets them all.
 SEEN = 300_000
 #: Shingles of a home's classes that one index takes.
