@@ -1,23 +1,27 @@
 """License scans by conditional compression.
 
-A document's lines are its blocks; long lines are cut into overlapping windows. A block with a word stem of license
-notices is a candidate. Each candidate is compressed alone and with each template as a raw zstandard dictionary; templates
-are ranked by how much smaller the block gets. Those with a share of ``LEAST`` of the best reduction are then compared word by
-word with the block, the best first: the notice is confirmed where the template's words stand in the block in order with at most
-``MOST_WRONG`` of them missing or strange, and the differences are listed. A license name that differs (a version number, say)
-is a difference in a word the template marks as its own, and is never forgiven.
-
-Null and empty texts have no blocks. Each block gives at most one row a license. Repeated rows are scanned each. Equal
-blocks are compressed once a task.
+A document is read as one row of words: line breaks, comment marks at the start of lines and words without a letter or digit are blanks,
+so a notice may be wrapped over any number of lines. Each word stem of license notices makes a block of the words around it, twice
+the longest template to either side; blocks that overlap are one, so a notice with a stem lies in one block whole.
+
+In a block, each template is aligned with the words in order, and each place where at most ``MOST_WRONG`` of the template's words are missing
+or strange is a candidate; the differences are listed. A license name that differs (a version number, say) is a difference in
+a word the template marks as its own, and is never forgiven. The text of candidates that overlap is compressed alone and with each template as
+a raw zstandard dictionary; templates are ranked by how much smaller it gets, and the best takes the words.
+
+Null and empty texts have no blocks. A row names the lines and the place of the notice itself. Repeated rows are scanned
+each. Equal texts are compressed once a task.
 """
 
 from __future__ import annotations
 
-import difflib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,48 +48,145 @@ TEMPLATES = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     ),
 }
-STEMS = r"(?i)licen[cs]|copyright|permission|redistribut|public domain|all rights reserved|\bcc[ -]by|\bgpl\b"
-WINDOW = 2_000
+STEMS = r"(?i)licen[cs]|copyright|permission|redistribut|public\W+domain|all\W+rights\W+reserved|\bcc\W{1,3}by|\bgpl\b"
+#: Comment words that stand at the start of lines.
+COMMENTS = {"rem", "@rem", "dnl"}
+MARKS = "\"'.,;:()[]!?*#/<>|%{}=~`-"
 LEAST = 0.5
 MOST_WRONG = 0.25
 LEVEL = 3
 
 FOUND = (
-    "doc_id long, line int, start long, length int, license string, reduction double, rank int, exact boolean, "
+    "doc_id long, line int, last_line int, start long, length int, license string, reduction double, rank int, exact boolean, "
     "n_missing int, n_strange int, differences string"
 )
+LEADING = re.compile(r"[^\w\s\"'(\[]+")
+TOKEN = re.compile(r"\S+")
+WORD = re.compile(r"\w")
+DIGIT = re.compile(r"\d")
+
 
+class Words(NamedTuple):
+    """The words of a text as they stand there, without marks at their ends in lower case, and where they start."""
 
-def words_of(text: str) -> list[str]:
-    """Words without marks at their ends, in lower case."""
-    return [w for w in (x.strip("\"'.,;:()[]!?*#").lower() for x in text.split()) if w]
+    raw: list[str]
+    bare: list[str]
+    at: list[int]
 
 
-def compared(template: str, block: str) -> tuple[int, int, int, int, list[str]]:
-    """First and last word of the template's place in the block, words missing and strange, and the differences."""
-    want, have = words_of(template), words_of(block)
-    match = difflib.SequenceMatcher(None, want, have, autojunk=False)
-    runs = [m for m in match.get_matching_blocks() if m.size]
-    if not runs:
-        return 0, 0, len(want), 0, [f"-{w}" for w in want]
-    # What stands in the block before the first word in common, or after the last, is not part of the notice.
-    first, last = runs[0].b, runs[-1].b + runs[-1].size
-    missing, strange, listed = 0, 0, []
-    for kind, a, b, c, d in match.get_opcodes():
-        if kind == "equal":
+def words_of(text: str) -> Words:
+    out, line_start = Words([], [], []), True
+    before = 0
+    for m in TOKEN.finditer(text):
+        line_start = line_start or "\n" in text[before : m.start()]
+        before, at, raw = m.end(), m.start(), m.group()
+        if line_start:
+            mark = LEADING.match(raw)
+            if mark:
+                at, raw = at + mark.end(), raw[mark.end() :]
+        if not WORD.search(raw):
+            continue  # a mark alone; what follows may still be the first word of its line
+        first, line_start = line_start, False
+        if first and raw.lower() in COMMENTS:
             continue
-        c, d = max(c, first), min(d, last)
-        missing += b - a
-        strange += max(0, d - c)
-        listed += [f"-{w}" for w in want[a:b]] + [f"+{w}" for w in have[c:d]]
-    return first, last, missing, strange, listed
+        bare = raw.strip(MARKS).lower()
+        if bare:
+            out.raw.append(raw)
+            out.bare.append(bare)
+            out.at.append(at)
+    return out
+
+
+class Place(NamedTuple):
+    """Where a template stands in a block: its first word, the one after its last, words missing and strange, and the differences."""
+
+    name: str
+    first: int
+    last: int
+    missing: int
+    strange: int
+    listed: list[str]
+
+
+class Template:
+    """A template's words as numbers, aligned with blocks."""
+
+    def __init__(self, name: str, own: list[str], text: str):
+        words = words_of(text)
+        self.name, self.own, self.words = name, own, words.bare
+        self.text = " ".join(words.raw).rstrip(".").lower()
+        self.most = int(MOST_WRONG * len(self.words))
+        self.kinds = set(self.words)
+
+    def possible(self, kinds: set[str]) -> bool:
+        """Whether a block of these words can hold the template; words that occur nowhere are missing for certain."""
+        return bool(self.words) and all(w in kinds for w in self.own) and sum(w not in kinds for w in self.words) <= self.most
+
+    def rows(self, block: list[str]) -> Iterator[np.ndarray]:
+        """For each number of template words, the least words missing and strange of a place that ends before each word of the block."""
+        number = {w: i for i, w in enumerate(self.kinds)}
+        have = np.array([number.get(w, -1) for w in block], np.int32)
+        step = np.arange(len(block) + 1, dtype=np.int32)
+        row = np.zeros(len(block) + 1, np.int32)
+        yield row
+        for w in self.words:
+            best = row + 1
+            np.minimum(best[1:], np.where(have == number[w], row[:-1], best[1:]), out=best[1:])
+            row = np.minimum.accumulate(best - step) + step
+            yield row
+
+    def place(self, block: list[str], end: int) -> Place | None:
+        """The best place that ends before word ``end``; None where its own words aren't in it."""
+        low = max(0, end - len(self.words) - self.most)
+        part = block[low:end]
+        table = list(self.rows(part))
+        i, j, pairs = len(self.words), len(part), []
+        while i and j:
+            if self.words[i - 1] == part[j - 1] and table[i][j] == table[i - 1][j - 1]:
+                i, j = i - 1, j - 1
+                pairs.append((i, j))
+            elif table[i][j] == table[i - 1][j] + 1:
+                i -= 1
+            else:
+                j -= 1
+        if not pairs:
+            return None
+        pairs.reverse()
+        first, last = pairs[0][1], pairs[-1][1] + 1
+        if not all(w in part[first:last] for w in self.own):
+            return None
+        listed, (a, b) = [], (0, first)
+        for i, j in [*pairs, (len(self.words), last)]:
+            listed += [f"-{w}" for w in self.words[a:i]] + [f"+{w}" for w in part[b:j]]
+            # Another number before the number of the name: that of another version.
+            if j > b and i < len(self.words) and self.words[i] in self.own and DIGIT.search(self.words[i]) and DIGIT.search(part[j - 1]):
+                return None
+            a, b = i + 1, j + 1
+        return Place(self.name, low + first, low + last, len(self.words) - len(pairs), last - first - len(pairs), listed)
+
+    def places(self, block: list[str]) -> list[Place]:
+        """Places of the template in the block that don't overlap, those with the fewest differences first."""
+        for row in self.rows(block):
+            pass
+        ends = np.flatnonzero((row[1:] <= self.most) & (row[1:] <= row[:-1])) + 1
+        found: list[Place] = []
+        inside = np.zeros(len(block) + 1, bool)
+        for end in ends[np.argsort(row[ends], kind="stable")].tolist():
+            if inside[end]:
+                continue
+            one = self.place(block, end)
+            if one and not inside[one.first + 1 : one.last + 1].any():
+                inside[one.first + 1 : one.last + 1] = True
+                found.append(one)
+        return found
 
 
 class Scanner:
     def __init__(self, templates: dict[str, tuple[list[str], str]]):
         import zstandard
 
-        self.templates = templates
+        self.templates = {name: Template(name, own, text) for name, (own, text) in templates.items()}
+        self.longest = max((len(t.words) for t in self.templates.values()), default=0)
         # A dictionary has to be eight bytes at least.
         self.with_template = {
             name: zstandard.ZstdCompressor(
@@ -96,65 +197,80 @@ class Scanner:
             for name, (_, text) in templates.items()
         }
         self.alone = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False)
-        self.scan = lru_cache(maxsize=20_000)(self.scanned)
+        self.reductions = lru_cache(maxsize=20_000)(self.reduced)
 
-    def reductions(self, block: str) -> list[tuple[float, str]]:
-        """The share by which each template shrinks the block, the largest first."""
+    def reduced(self, block: str) -> dict[str, tuple[int, float]]:
+        """Rank and the share by which each template shrinks the block, the largest first."""
         data = block.encode("utf-8", "surrogatepass")
         plain = len(self.alone.compress(data))
-        ranked = [((plain - len(c.compress(data))) / plain, name) for name, c in self.with_template.items()]
-        return sorted(ranked, key=lambda x: (-x[0], x[1]))
-
-    def scanned(self, block: str) -> list[tuple]:
-        """Confirmed licenses of a block: (license, reduction, rank, exact, missing, strange, differences)."""
-        ranked = self.reductions(block)
-        best, found = ranked[0][0], []
-        for rank, (reduction, name) in enumerate(ranked, 1):
-            if reduction <= 0 or reduction < LEAST * best:
-                break
-            own, template = self.templates[name]
-            first, last, missing, strange, listed = compared(template, block)
-            size = len(words_of(template))
-            inside = words_of(block)[first:last]
-            if missing + strange > MOST_WRONG * size or not all(w in inside for w in own):
-                continue
-            exact = not listed and template.rstrip(".").lower() in " ".join(block.split()).lower()
-            found.append((name, reduction, rank, exact, missing, strange, " ".join(listed)))
-        return found
+        ranked = sorted((-(plain - len(c.compress(data))) / plain, name) for name, c in self.with_template.items())
+        return {name: (rank, -less) for rank, (less, name) in enumerate(ranked, 1)}
 
+    def blocks(self, words: Words, stems: list[int]) -> Iterator[tuple[int, int]]:
+        """First word and the one after the last of each block around the characters where stems start."""
+        reach, low, high = 2 * self.longest, 0, 0
+        for at in stems:
+            word = bisect_right(words.at, at) - 1
+            if high and word - reach > high:
+                yield low, high
+                high = 0
+            low = low if high else max(0, word - reach)
+            high = min(len(words.at), word + reach + 1)
+        if high:
+            yield low, high
 
-def blocks(text: str) -> Iterator[tuple[int, int, str]]:
-    """(line, start, block) of the text's lines, or of windows that overlap by half where a line is long."""
-    at = 0
-    for number, line in enumerate(text.split("\n")):
-        if len(line) <= WINDOW:
-            yield number, at, line
-        else:
-            for start in range(0, len(line) - WINDOW // 2, WINDOW // 2):
-                yield number, at + start, line[start : start + WINDOW]
-        at += len(line) + 1
+    def scanned(self, words: Words, low: int, high: int) -> Iterator[tuple]:
+        """Confirmed licenses of a block: (first word, the one after the last, license, reduction, rank, exact, missing, strange, differences)."""
+        block = words.bare[low:high]
+        kinds = set(block)
+        found = sorted((p for t in self.templates.values() if t.possible(kinds) for p in t.places(block)), key=lambda p: (p.first, p.last))
+        group: list[Place] = []
+        end = 0
+        for one in found:
+            if group and one.first >= end:
+                yield from self.confirmed(words, low, group)
+                group = []
+            end = max(end, one.last) if group else one.last
+            group.append(one)
+        if group:
+            yield from self.confirmed(words, low, group)
+
+    def confirmed(self, words: Words, low: int, group: list[Place]) -> Iterator[tuple]:
+        """Of places that overlap, those that the ranking takes."""
+        first, last = min(p.first for p in group), max(p.last for p in group)
+        ranks = self.reductions(" ".join(words.raw[low + first : low + last]))
+        group = sorted(group, key=lambda p: (-ranks[p.name][1], p.missing + p.strange, p.name))
+        best, taken = ranks[group[0].name][1], []
+        for p in group:
+            rank, less = ranks[p.name]
+            if less < LEAST * best or any(p.first < t.last and t.first < p.last for t in taken):
+                continue
+            taken.append(p)
+            a, b = low + p.first, low + p.last
+            exact = not p.listed and self.templates[p.name].text in " ".join(words.raw[a:b]).lower()
+            yield a, b, p.name, less, rank, exact, p.missing, p.strange, " ".join(p.listed)
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, tuple[list[str], str]] | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each license confirmed in a block of a document; see ``FOUND`` for the columns."""
+    """One row for each notice confirmed in a document; see ``FOUND`` for the columns."""
     templates = TEMPLATES if templates is None else templates
     stems = re.compile(STEMS)
     names = [f.split()[0] for f in FOUND.split(", ")]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.string()]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.string()]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates)
         for batch in batches:
             rows = []
             for doc, body in zip(batch.column(0).to_pylist(), batch.column(1)):
-                seen: set[tuple[int, str]] = set()
-                for line, start, block in blocks(body.as_py()):
-                    if not stems.search(block):
-                        continue
-                    for name, *rest in scanner.scan(block):
-                        if (line, name) not in seen:  # windows overlap
-                            seen.add((line, name))
-                            rows.append((doc, line, start, len(block), name, *rest))
+                whole = body.as_py()
+                at = [m.start() for m in stems.finditer(whole)]
+                words = words_of(whole) if at else Words([], [], [])
+                for low, high in scanner.blocks(words, at):
+                    for a, b, *rest in scanner.scanned(words, low, high):
+                        start, end = words.at[a], words.at[b - 1] + len(words.raw[b - 1])
+                        line = whole.count("\n", 0, start)
+                        rows.append((doc, line, line + whole.count("\n", start, end), start, end - start, *rest))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names)
 
     candidates = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -387,6 +388,24 @@ def test_licenses_are_confirmed_by_their_words(documents, odd_rows):
     assert licenses.scan_licenses(documents([])).count() == 0
 
 
+def test_wrapped_notices_are_confirmed(documents):
+    rows, want = [], set()
+    for name in ("MIT-text", "BSD", "Apache-2.0-text"):
+        for mark in ("", "# ", " * ", "// ", "REM "):
+            notice = textwrap.fill(licenses.TEMPLATES[name][1], 75, initial_indent=mark, subsequent_indent=mark)
+            rows.append((len(rows), f"first line\n{mark}\n{notice}\n{mark}\nlast line of a text", "a"))
+            want.add((len(rows) - 1, name, True, 2, 2 + notice.count("\n")))
+    # A notice far into a long text, across what were the edges of blocks, and a version on the line after another.
+    rows.append((90, "word " * 1234 + rows[0][1] + " word" * 1234, "a"))
+    rows.append((91, "This work is licensed under the GNU General Public License, version 2.\n3 apples", "a"))
+    got = licenses.scan_licenses(documents(rows)).collect()
+    assert {(g.doc_id, g.license, g.exact, g.line, g.last_line) for g in got if g.doc_id < 90} == want
+    assert [(g.doc_id, g.license, g.exact) for g in got if g.doc_id >= 90] == [(90, "MIT-text", True)]
+    assert len(got) == len(want) + 1
+    text = dict((i, t) for i, t, _ in rows)
+    assert all(text[g.doc_id][g.start : g.start + g.length].startswith(licenses.TEMPLATES[g.license][1][:15]) for g in got)
+
+
 # -- archives ----------------------------------------------------------------------------
 
 
