@@ -7,7 +7,8 @@ the longest template to either side; blocks that overlap are one, so a notice wi
 In a block, each template is aligned with the words in order, and each place where at most ``MOST_WRONG`` of the template's words are missing
 or strange is a candidate; the differences are listed. A license name that differs (a version number, say) is a difference in
 a word the template marks as its own, and is never forgiven. The text of candidates that overlap is compressed alone and with each template as
-a raw zstandard dictionary; templates are ranked by how much smaller it gets, and the best takes the words.
+a raw zstandard dictionary; templates are ranked by how much smaller it gets, and the best takes the words. The ranking decides between candidates
+alone: what the rest of the block holds besides is aligned again, until no candidate is left.
 
 Null and empty texts have no blocks. A row names the lines and the place of the notice itself. Repeated rows are scanned
 each. Equal texts are compressed once a task.
@@ -52,7 +53,6 @@ STEMS = r"(?i)licen[cs]|copyright|permission|redistribut|public\W+domain|all\W+r
 #: Comment words that stand at the start of lines.
 COMMENTS = {"rem", "@rem", "dnl"}
 MARKS = "\"'.,;:()[]!?*#/<>|%{}=~`-"
-LEAST = 0.5
 MOST_WRONG = 0.25
 LEVEL = 3
 
@@ -221,34 +221,49 @@ class Scanner:
 
     def scanned(self, words: Words, low: int, high: int) -> Iterator[tuple]:
         """Confirmed licenses of a block: (first word, the one after the last, license, reduction, rank, exact, missing, strange, differences)."""
-        block = words.bare[low:high]
-        kinds = set(block)
-        found = sorted((p for t in self.templates.values() if t.possible(kinds) for p in t.places(block)), key=lambda p: (p.first, p.last))
-        group: list[Place] = []
-        end = 0
-        for one in found:
-            if group and one.first >= end:
-                yield from self.confirmed(words, low, group)
-                group = []
-            end = max(end, one.last) if group else one.last
-            group.append(one)
-        if group:
-            yield from self.confirmed(words, low, group)
-
-    def confirmed(self, words: Words, low: int, group: list[Place]) -> Iterator[tuple]:
-        """Of places that overlap, those that the ranking takes."""
-        first, last = min(p.first for p in group), max(p.last for p in group)
-        ranks = self.reductions(" ".join(words.raw[low + first : low + last]))
-        group = sorted(group, key=lambda p: (-ranks[p.name][1], p.missing + p.strange, p.name))
-        best, taken = ranks[group[0].name][1], []
-        for p in group:
-            rank, less = ranks[p.name]
-            if less < LEAST * best or any(p.first < t.last and t.first < p.last for t in taken):
-                continue
-            taken.append(p)
-            a, b = low + p.first, low + p.last
-            exact = not p.listed and self.templates[p.name].text in " ".join(words.raw[a:b]).lower()
-            yield a, b, p.name, less, rank, exact, p.missing, p.strange, " ".join(p.listed)
+        parts = [(low, high)]
+        while parts:
+            low, high = parts.pop()
+            block = words.bare[low:high]
+            kinds = set(block)
+            found = sorted((p for t in self.templates.values() if t.possible(kinds) for p in t.places(block)), key=lambda p: (p.first, p.last))
+            group: list[Place] = []
+            taken: list[Place] = []
+            end = 0
+            for one in found:
+                if group and one.first >= end:
+                    taken += self.best(words, low, group)
+                    group, end = [], 0
+                end = max(end, one.last)
+                group.append(one)
+            if group:
+                taken += self.best(words, low, group)
+            for p in taken:
+                yield self.row(words, low, p)
+            # The words between those taken may hold what was aligned with some of them.
+            if taken:
+                edges = [0, *(x for p in sorted(taken, key=lambda p: p.first) for x in (p.first, p.last)), high - low]
+                parts += [(low + a, low + b) for a, b in zip(edges[::2], edges[1::2]) if b > a]
+
+    def text_of(self, words: Words, first: int, last: int) -> str:
+        return " ".join(words.raw[first:last])
+
+    def best(self, words: Words, low: int, group: list[Place]) -> list[Place]:
+        """Of places that overlap, the best ranked, and in turn the next that is apart from those."""
+        ranks = self.reductions(self.text_of(words, low + min(p.first for p in group), low + max(p.last for p in group)))
+        taken: list[Place] = []
+        for p in sorted(group, key=lambda p: (-ranks[p.name][1], p.missing + p.strange, p.name, p.first)):
+            if not any(p.first < t.last and t.first < p.last for t in taken):
+                taken.append(p)
+        return taken
+
+    def row(self, words: Words, low: int, p: Place) -> tuple:
+        """The reduction and rank are those in the notice's own text."""
+        a, b = low + p.first, low + p.last
+        text = self.text_of(words, a, b)
+        rank, less = self.reductions(text)[p.name]
+        exact = not p.listed and self.templates[p.name].text in text.lower()
+        return a, b, p.name, less, rank, exact, p.missing, p.strange, " ".join(p.listed)
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, tuple[list[str], str]] | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:

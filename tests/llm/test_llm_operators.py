@@ -406,6 +406,22 @@ def test_wrapped_notices_are_confirmed(documents):
     assert all(text[g.doc_id][g.start : g.start + g.length].startswith(licenses.TEMPLATES[g.license][1][:15]) for g in got)
 
 
+def test_each_notice_of_a_line_is_confirmed(documents):
+    text = {name: t for name, (_, t) in licenses.TEMPLATES.items()}
+    apart = " and some more of the words that stand between notices. "
+    both = text["MIT-text"] + ". " + text["CC-BY-4.0"]
+    many = apart.join([text["MIT"]] * 300)
+    close = " ".join([text["MIT"], text["CC-BY-NC-4.0"], text["Apache-2.0-text"], text["MIT"], text["CC-BY-4.0"].upper(), text["GPL-3.0"], "Work is licensed under the GNU General Public License, version 3."])
+    got = licenses.scan_licenses(documents([(1, both, "a"), (2, many, "a"), (3, close, "a")])).collect()
+    by = defaultdict(list)
+    for g in sorted(got, key=lambda g: g.start):
+        by[g.doc_id].append((g.license, g.start))
+        assert g.line == g.last_line == 0
+    assert by[1] == [("MIT-text", 0), ("CC-BY-4.0", len(text["MIT-text"]) + 2)]
+    assert by[2] == [("MIT", i * len(text["MIT"] + apart)) for i in range(300)]
+    assert [name for name, _ in by[3]] == ["MIT", "CC-BY-NC-4.0", "Apache-2.0-text", "MIT", "CC-BY-4.0", "GPL-3.0", "GPL-3.0"]
+
+
 # -- archives ----------------------------------------------------------------------------
 
 
