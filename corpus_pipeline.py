@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir), where docs is a written table, and decides about all of it. All but the last
 return the columns of docs: their names, order and types, whatever further columns there are. Rows are told apart by their place in
-the written table, so null and repeated ids and repeated rows are rows like any other. An empty table gives empty tables.
+the written table, never by doc_id, so null and repeated ids and repeated rows are rows like any other. An empty table gives empty tables.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberbasin.llm import classifier, jaccard, mixing, packing, substrings
-from emberbasin.llm.common import scratch_folder, stored, table, text_key, word_count
+from emberbasin.llm.common import scratch_folder, stored, table, text_key, word_count, written
 
 
 def fresh(docs: DataFrame, *wanted: str) -> list[str]:
@@ -33,6 +33,11 @@ def own(docs: DataFrame) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
 
 
+def numbered(docs: DataFrame, row: str) -> DataFrame:
+    """The rows with a number of their own, written once, so that all who read them see the same numbers."""
+    return written(docs.select(*own(docs), F.monotonically_increasing_id().alias(row)), "numbered")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts to be of quality; labels of held-out ids teach nothing.
 
@@ -48,21 +53,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates: that of the smallest id, then the first of the table. Texts without words each stay."""
-    (row, mark, doc_id, group) = fresh(docs, "_row", "_mark", "_id", "_group")
-    marked = docs.select(
-        *own(docs), F.monotonically_increasing_id().alias(row), F.xxhash64("text").alias(mark), F.col("doc_id").cast("long").alias(doc_id)
-    )
-    classes = jaccard.near_duplicates(docs)
-    # A class has one component; rows of one id and text are of one class.
-    groups = (
-        classes.filter("n_shingles > 0 AND component_id IS NOT NULL")
-        .groupBy(F.col("doc_id").alias("_i"), F.col("mark").alias("_m")).agg(F.min("component_id").alias(group))
-    )
-    narrow = marked.select(row, mark, doc_id)
-    grouped = narrow.join(groups, (F.col(doc_id).eqNullSafe(F.col("_i"))) & (F.col(mark).eqNullSafe(F.col("_m"))))
-    first = grouped.groupBy(group).agg(F.min(F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.col(row)))[row].alias("_first"))
-    gone = grouped.join(first, group).filter(F.col(row) != F.col("_first")).select(F.col(row).alias("_gone"))
-    return marked.join(gone, F.col(row) == F.col("_gone"), "left_anti").select(*own(docs))
+    (row, doc_id, group) = fresh(docs, "_row", "_id", "_group")
+    rows = numbered(docs, row)
+    # Ids don't tell rows apart, their numbers do. A text without words is a component of its own.
+    groups = jaccard.near_duplicates(rows, id_col=row).select(F.col("doc_id").alias("_r"), F.col("component_id").alias(group))
+    ids = rows.select(row, F.col("doc_id").cast("long").alias(doc_id)).join(groups, F.col(row) == F.col("_r"))
+    kept = ids.groupBy(group).agg(F.min(F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.col(row)))[row].alias("_kept"))
+    return rows.join(kept, F.col(row) == F.col("_kept"), "left_semi").select(*own(docs))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 import plain
@@ -47,6 +48,23 @@ def test_repeated_rows_are_copies(spark, tmp_path, documents):
     assert Counter(r.doc_id for r in out.collect()) == {1: 1, 3: 2}
 
 
+def test_ids_do_not_tell_rows_apart(spark, tmp_path, documents):
+    r = random.Random(5)
+    texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(80)) for _ in range(5)]
+    near = texts[0].replace(texts[0].split(" ")[40], "other")
+    rows = [
+        (None, texts[0], "a"), (None, near, "b"),  # near copies without ids
+        (None, texts[1], "a"), (None, texts[1], "a"),  # exact copies without ids
+        (7, texts[2], "a"), (7, texts[3], "a"),  # one id, unrelated texts
+        (8, texts[4], "a"), (None, texts[4], "b"), (6, texts[4] + " more", "c"),
+        (None, None, "a"), (None, "", "a"), (7, " ", "a"), (7, " ", "a"),
+    ]
+    _, out = stage(spark, tmp_path, corpus_pipeline.one_of_each_group, documents(rows).coalesce(1))
+    got = Counter((x.doc_id, x.text) for x in out.collect())
+    kept = [rows[i] for i in (0, 2, 4, 5, 8, 9, 10, 11, 12)]
+    assert got == Counter((i, t) for i, t, _ in kept)
+
+
 def test_repeats_are_cut_from_texts(spark, tmp_path, documents, odd_rows):
     rows = [(i, t, s) for i, (_, t, s) in enumerate(odd_rows)]
     _, out = stage(spark, tmp_path, corpus_pipeline.without_repeats, documents(rows))
