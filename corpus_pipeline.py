@@ -87,7 +87,7 @@ def valid_text(kept: Column) -> Column:
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it; a row of no words once."""
     (row, copies, copy) = fresh(docs, "_row", "_copies", "_copy")
-    marked = docs.select(*own(docs), F.monotonically_increasing_id().alias(row))
+    marked = numbered(docs, row)
     sizes = marked.select(
         F.col(row).alias("row"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")
     )

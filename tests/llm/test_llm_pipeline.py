@@ -82,6 +82,24 @@ def test_mixing_repeats_rows(spark, tmp_path, documents):
     assert plain_rows(out.distinct()).keys() <= plain_rows(docs).keys()
 
 
+def test_mixing_keeps_its_numbers_when_files_are_split_anew(spark, tmp_path, documents, monkeypatch):
+    splits, mix = "spark.sql.files.minPartitionNum", corpus_pipeline.mixing.mix
+
+    def fewer(rows, keys):
+        taken = mix(rows, keys)
+        spark.conf.set(splits, "1")
+        return taken
+
+    monkeypatch.setattr(corpus_pipeline.mixing, "mix", fewer)
+    rows = [(i, "w " * 30, "a" if i < 40 else "b") for i in range(240)]
+    spark.conf.set(splits, "64")
+    try:
+        _, out = stage(spark, tmp_path, corpus_pipeline.mixed, documents(rows).repartition(8))
+        assert Counter(r.source for r in out.collect()) == {"a": 120, "b": 120}
+    finally:
+        spark.conf.unset(splits)
+
+
 def test_quality_rejects_by_its_own_score(spark, tmp_path, documents):
     rows = [(i, ("some plain words of a text. " if i % 2 else "SHOUTED!! WORDS!! ") * 9, "a") for i in range(120)]
     spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
