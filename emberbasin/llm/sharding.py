@@ -13,6 +13,7 @@ rows. Equal rows beyond the reach of the last tie-breaker stay together.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,12 +28,41 @@ LAST_ROWS = 20_000
 BUCKET_ROWS = 20_000
 
 
+def ordered_double(value: Column) -> Column:
+    """A whole number from 0 to 2^62 in the order of doubles, from their bits without the last two; NaN is above all."""
+    size = F.abs(value)
+    finite = F.when((size > 0) & (size < float("inf")) & ~F.isnan(size), size)
+    # The logarithm may be off by one beside a power of two; below 2^-1022 the bits have no exponent.
+    near = F.greatest(F.floor(F.log2(finite)), F.lit(-1022))
+    two = lambda e: F.pow(F.lit(2.0), e.cast("double"))
+    exponent = F.when((two(near) > finite) & (near > -1022), near - 1).when(two(near + 1) <= finite, near + 1).otherwise(near)
+    bits = (exponent + 1022) * F.lit(1 << 52) + (finite / two(exponent) * float(1 << 52)).cast("long")
+    top = F.lit(2047 << 52)
+    bits = F.when(size == 0, F.lit(0).cast("long")).when(F.isnan(size), top + F.lit(4)).when(size == float("inf"), top).otherwise(bits)
+    half = F.shiftright(bits, 2)
+    return F.lit(1 << 61) + F.when((value < 0) & ~F.isnan(size), -half).otherwise(half)
+
+
 def coordinate(column: Column, kind: str) -> Column:
-    """A whole number for any simple value; null is -1 below all, text is its checksum."""
+    """A whole number for any simple value, in the order of the values; null is -1, text is its checksum.
+
+    Dates, times, decimals and doubles are moved so that they lie above null. A decimal of over 18 digits is taken as a double.
+    """
     if kind in ("tinyint", "smallint", "int", "bigint"):
         value = column.cast("long")
-    elif kind in ("float", "double", "date", "timestamp", "boolean") or kind.startswith("decimal"):
-        value = F.crc32(column.cast("string").cast("binary"))
+    elif kind == "boolean":
+        value = column.cast("int").cast("long")
+    elif kind == "date":
+        value = F.unix_date(column).cast("long") + F.lit(719162)  # days from the year 1
+    elif kind == "timestamp":
+        value = F.unix_micros(column) + F.lit(63_000_000_000_000_000)  # more than there are from the year 1
+    elif kind == "timestamp_ntz":
+        seconds = (F.unix_date(column.cast("date")).cast("long") + F.lit(719162)) * 86_400 + F.hour(column) * 3600 + F.minute(column) * 60
+        value = seconds * 1_000_000 + (F.date_part(F.lit("SECOND"), column) * 1_000_000).cast("long")
+    elif kind.startswith("decimal") and int(kind[len("decimal(") : -1].split(",")[0]) <= 18:
+        value = F.floor(column * F.lit(Decimal(10 ** int(kind[:-1].split(",")[1])))).cast("long") + F.lit(10**18)
+    elif kind in ("float", "double") or kind.startswith("decimal"):
+        value = ordered_double(column.cast("double"))
     else:
         value = F.crc32(column.cast("string").cast("binary"))
     return F.coalesce(value, F.lit(-1).cast("long"))
@@ -109,8 +139,8 @@ def _cuts(here: DataFrame, weight: str, chosen: dict, goals: dict) -> dict[int,
             if key[n] == "tie":
                 inside &= F.col("_v") == at[n]
             width = (high[n] - low[n]) // RANGES + 1
-            # As decimals, since the span of a hash is over a long.
-            place = F.floor((x.cast("decimal(38,0)") - F.lit(low[n]).cast("decimal(38,0)")) / F.lit(width).cast("decimal(20,0)")) if key[n] == "tie" else F.floor((x - low[n]) / F.lit(width))
+            # As decimals, since the span of a hash is over a long; a span of values may be over what a double holds, so the rest goes first.
+            place = F.floor((x.cast("decimal(38,0)") - F.lit(low[n]).cast("decimal(38,0)")) / F.lit(width).cast("decimal(20,0)")) if key[n] == "tie" else F.round((x - low[n] - (x - low[n]) % F.lit(width)) / F.lit(width))
             bucket = F.when(F.col("_node") == n, place.cast("long")).otherwise(bucket)
             within |= inside
         sums = here.filter(within).groupBy("_node", bucket.alias("_b")).agg(F.sum("_w").alias("w"), F.count(F.lit(1)).alias("n")).collect()

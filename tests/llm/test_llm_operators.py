@@ -150,6 +150,33 @@ def test_a_hot_metadata_value_is_split(documents):
     assert Counter(r.shard for r in got) == {s: 16 for s in range(40)}
 
 
+def test_coordinates_keep_the_order_of_values(spark):
+    doubles = [float("-inf"), -1e308, -3.0, -1.5, -1.0, -5e-310, 0.0, 5e-310, 2.3e-308, 0.1, 0.3, 1.0, 1.0000001, 2.0, 3.0, 1024.0, 1e308, float("inf"), float("nan")]
+    df = spark.createDataFrame(list(enumerate(doubles)), "i int, a double")
+    df = df.selectExpr(
+        "i", "a", "CAST((i - 9) * 1.37 AS FLOAT) f", "date_add(DATE'1969-12-20', i * 40) d", "timestamp_micros((i - 9) * 86399999999L) t",
+        "CAST(timestamp_micros((i - 9) * 3599999999L) AS TIMESTAMP_NTZ) z", "CAST((i - 9) * 0.25 AS DECIMAL(9,2)) m", "CAST((i - 9) * 1.5 AS DECIMAL(30,10)) w",
+        "CAST((i - 9) * 1000000000000BD AS DECIMAL(38,2)) v", "i > 9 AS b",
+    )
+    kinds = dict(df.dtypes)
+    got = df.select("i", *[sharding.coordinate(F.col(c), kinds[c]).alias(c) for c in df.columns[1:]]).orderBy("i").collect()
+    for c in df.columns[1:]:
+        column = [r[c] for r in got]
+        assert column == sorted(column) and column[0] >= 0, c
+        assert len(set(column)) == (2 if c == "b" else len(column)), (c, column)
+    none = df.limit(1).select(*[sharding.coordinate(F.lit(None).cast(kinds[c]), kinds[c]).alias(c) for c in df.columns[1:]]).first()
+    assert set(none) == {-1}
+
+
+def test_shards_follow_a_time(spark):
+    rows = spark.range(400).selectExpr("id AS doc_id", "'word' AS text", "timestamp_micros((id * 7919 % 400) * 3000000000L) AS t")
+    got = sharding.shard_documents(rows, 4, metadata=("t",), id_col="doc_id").select("doc_id", "shard").collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.shard].append(r.doc_id * 7919 % 400)
+    assert len(by) == 4 and all(len(x) == 100 and (max(x) < 200 or min(x) >= 200) for x in by.values())
+
+
 # -- repeated strings --------------------------------------------------------------------
 
 
