@@ -60,6 +60,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def fresh_names(docs: DataFrame, *wanted: str) -> list[str]:
+    """Names like those wanted that no column of docs has, case aside, each of them once."""
+    taken = {c.lower() for c in docs.columns}
+    names = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        names.append(name)
+    return names
+
+
+def own_columns(docs: DataFrame) -> list[Column]:
+    """The columns of docs by name, dots and all."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
 def text_key(text: Column) -> list[Column]:
     """128 bits that stand for a text, as two longs named k1 and k2."""
     bare = F.coalesce(text, F.lit(""))
