@@ -29,8 +29,8 @@ def run(spark, name):
     return QUERIES[name](spark, SF_DIR).collect()
 
 
-def test_ten_queries():
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+def test_thirteen_queries():
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
 
 
 def pieces_of(docs):
@@ -126,7 +126,7 @@ def test_op10(spark, docs):
 
 
 def test_sql_is_given_where_it_can_be():
-    assert set(ORACLES) == {"op2_quality_rules", "op9_warc_segments"}
+    assert set(ORACLES) == {"op2_quality_rules", "op9_warc_segments", "op11_importance_resampling", "op13_fill_in_middle"}
 
 
 def test_pipeline(spark):
