@@ -57,7 +57,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: what is large is compressed there, and read by columns."""
     path = scratch_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    table = df.sparkSession.read.parquet(path)
+    table.written_to = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table that :func:`written` made, once nothing reads it any more."""
+    spark = table.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.written_to)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh_names(docs: DataFrame, *wanted: str) -> list[str]:

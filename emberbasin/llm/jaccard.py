@@ -4,16 +4,22 @@
    recur within a task. Classes stand for their copies from here on.
 2. Shingles are put in one order for all: recurring ones last, by their count, others by their hash. A class lists its first
    ``n - ceil(t * n) + 1`` shingles: two sets that reach t share one of these. Only the listed shingles are
-   shuffled, and those that a single class lists end there.
-3. A class lives at its first shared shingle (its home), and visits every other home that has a class with
-   which it shares a listed shingle, unless sizes and places rule a link out. Homes of many shingles are split. So any two classes that may link meet once each way.
-4. At each home an inverted index over its classes is searched for each visitor with DivideSkip: the T-occurrence bound is
+   shuffled, and those that a single class lists end there. Recurring ones are counted before the shuffle.
+3. A class lives at that of its listed shingles which most classes list (its home), so that a group lives at one place, and visits
+   every other home that has a class with which it shares a listed shingle, unless sizes and places rule a link out.
+   Any two classes that may link meet at the home of one of them.
+4. A home of very many shingles is split into parts. Its classes first meet a few leaders there, one row each; those that fall into one
+   component needn't meet again. Only classes outside a home's largest component visit its other parts, so a group of near copies isn't
+   squared, whatever its size.
+5. At each home an inverted index over its classes is searched with DivideSkip: the T-occurrence bound is
    the least overlap that t allows, the longest lists are set aside, the short ones are merged into counts,
    and what reaches the rest of the bound is looked up in the long ones by binary search. The exact overlap then decides.
-   A home returns a count of links for each visitor and a forest that connects what is linked, never pairs.
-5. Components of the forests.
+   Classes that a search has found don't search themselves, unless they stay outside the largest component of the place.
+   A home returns a forest that connects what is linked, never pairs.
+6. Components of the forests.
 
 No list of partners or candidates is cut. The order in step 2 bears on cost alone, so the table of recurring shingles may be bounded.
+With ``links`` every class searches wherever it may link, so links can be counted: work that grows with their number, a square of a group.
 
 Null and blank texts have no shingles and link with nothing. Rows without an id get the component of equal texts that have one, else null.
 Rows of one id with different texts count as one document that has both. Repeated rows link with each other.
@@ -28,9 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberbasin.llm.common import mixed64, several, slices, stored, written
+from emberbasin.llm.common import discard, mixed64, several, slices, stored, written
 from emberbasin.llm.graph import components
 from emberbasin.llm.shingles import WORDS, Hasher, sequence_hashes, shingle_sets
+from emberbasin.plans.joins import BROADCAST_ROWS
 
 #: Similarity in hundredths.
 PERCENT = 75
@@ -44,6 +51,8 @@ RECURRING = 200_000
 SEEN = 300_000
 #: Shingles of a home's classes that one index takes.
 INDEX = 400_000
+#: Classes of a split home that all others of it meet first.
+LEADERS = 8
 #: DivideSkip's weight of a probe against a merge.
 MU = 0.4
 
@@ -96,22 +105,27 @@ def scanned(docs: DataFrame, size: int = WORDS) -> DataFrame:
 
 
 def listed(rows: DataFrame, order, percent: int, size: int) -> DataFrame:
-    """c1, n and the listed shingles ``s``, in order, of each text; copies that a task has seen already are left out."""
+    """c1, n, the listed shingles ``s`` in order, and how many of them aren't known to recur (``cold``, which come first), of each text.
+
+    Copies that a task has seen already are left out."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, (known, rank), seen = Hasher(), order.value, set()
         for batch in slices(batches, "text", SLICE):
             words, at = hasher.words(batch.column(0))
             c1, c2 = sequence_hashes(words, at)
-            names, counts, lists = [], [], []
+            names, counts, lists, colds = [], [], [], []
             for a, b, one in zip(c1.tolist(), c2.tolist(), shingle_sets(words, at, size)):
                 if len(one) < 2 or (a, b) in seen:  # sets of one shingle link with equal ones only
                     continue
                 seen.add((a, b))
+                cold = len(one)
                 if len(known):
                     place = np.minimum(np.searchsorted(known, one), len(known) - 1)
                     level = np.where(known[place] == one, rank[place], 0)
+                    cold -= int(np.count_nonzero(level))
                     one = one[np.argsort(level, kind="stable")] if level.any() else one
+                colds.append(cold)
                 names.append(a)
                 counts.append(len(one))
                 lists.append(one[: listed_length(len(one), percent)])
@@ -120,17 +134,21 @@ def listed(rows: DataFrame, order, percent: int, size: int) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
             flat = np.concatenate(lists).view(np.int64) if lists else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(counts, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                ["c1", "n", "s"],
-            )
+                [
+                    pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(counts, pa.int32()), pa.array(colds, pa.int32()),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                ],
+                ["c1", "n", "cold", "s"],
+            )
 
-    return rows.select("text").mapInArrow(work, "c1 long, n int, s array<long>")
+    return rows.select("text").mapInArrow(work, "c1 long, n int, cold int, s array<long>")
 
 
 def sent(base: DataFrame, size: int) -> DataFrame:
     """A row for each class and home (and part of a home) it visits: its whole sorted set, whether it lives there, its copies.
 
-    ``base`` has rep, text, copies and visits, an array of (home, parts, own)."""
+    ``base`` has rep, text, copies and visits, an array of (home, parts, own, round): a class that lives at a home
+    goes to the other parts of it only if it makes the round; a visitor goes to all."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -144,6 +162,8 @@ def sent(base: DataFrame, size: int) -> DataFrame:
                 for visit in visits:
                     for part in range(visit["parts"]):
                         lives = visit["own"] and part == rep % visit["parts"]
+                        if visit["own"] and not lives and not visit["round"]:
+                            continue
                         rows.append((visit["home"], part, bool(lives), rep, copies, data))
                         held += len(data)
                 if held > SLICE:
@@ -211,14 +231,42 @@ class Index:
         union = len(one) + self.sizes[found] - overlap
         return found[(100 * overlap >= percent * union) & (self.reps[found] != rep)]
 
+    def unite(self, hit: np.ndarray) -> None:
+        first = self.root(int(hit[0]))
+        for i in hit[1:].tolist():
+            self.up[self.root(i)] = first
+
+    def unite_members(self, sets: list[np.ndarray], percent: int) -> None:
+        """Connects members that are linked, directly or by others here, without a search for each.
+
+        Members that no earlier one has found search first. Then all outside the largest component search: of two linked members at
+        least one has searched, or both are in that component already."""
+        asked, found = np.zeros(len(sets), bool), np.zeros(len(sets), bool)
+
+        def ask(i: int) -> None:
+            asked[i] = True
+            hit = self.links(int(self.reps[i]), sets[i], percent)
+            found[hit] = True
+            if len(hit):
+                self.unite(np.append(hit, i))
+
+        for i in range(len(sets)):
+            if not found[i]:
+                ask(i)
+        roots = [self.root(i) for i in range(len(sets))]
+        main = max(set(roots), key=roots.count) if len(sets) < 50 else int(np.bincount(roots).argmax())
+        for i in np.flatnonzero(~asked).tolist():
+            if self.root(i) != self.root(main):
+                ask(i)
+
     def forest(self) -> list[tuple[int, int, int]]:
         """(node, links, peer) that tie each member to the root of its tree."""
         reps = self.reps
         return [(int(reps[i]), 0, int(reps[r])) for i in range(len(reps)) if (r := self.root(i)) != i]
 
 
-def searched(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """node, links, peer: the links of each visitor, and edges of the forests; ``rows`` as :func:`sent` makes them."""
+def searched(rows: DataFrame, percent: int = PERCENT, links: bool = False) -> DataFrame:
+    """node, links, peer: edges of the forests, and with ``links`` the links of each class; ``rows`` as :func:`sent` makes them."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, members, index, out = None, ([], [], []), None, []
@@ -226,9 +274,7 @@ def searched(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
         def ask(rep: int, one: np.ndarray) -> None:
             hit = index.links(rep, one, percent)
             if len(hit):
-                first = index.root(int(hit[0]))
-                for i in hit[1:].tolist():
-                    index.up[index.root(i)] = first
+                index.unite(hit)
                 out.append((rep, int(index.copies[hit].sum()), int(index.reps[hit[0]])))
 
         def opened() -> Index | None:
@@ -236,6 +282,8 @@ def searched(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
             return made
 
         def ask_members() -> None:
+            if not links:
+                return index.unite_members(members[2], percent)
             for rep, one in zip(members[0], members[2]):
                 ask(rep, one)
 
@@ -279,22 +327,55 @@ def searched(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     return dealt.mapInArrow(work, "node long, links long, peer long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = WORDS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, mark (a hash of the text), n_shingles, component_id (smallest id reachable by links) and n_links of every row."""
+def recurring(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of (c1, times), sorted, and their counts: at most RECURRING numbers, cut where a grade of counts ends.
+
+    The cut-off is found by counting grades, so what comes to the driver is what is kept."""
+    grade = F.floor(F.log2("times") * 8).cast("int")
+    levels = sorted(counts.groupBy(grade.alias("grade")).count().collect(), key=lambda r: -r["grade"])  # a few hundred grades at most
+    total, least = 0, None
+    for level in levels:
+        total += level["count"]
+        if total > RECURRING:
+            break
+        least = level["grade"]
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    often = counts.filter(grade >= least).toPandas()
+    known = often["c1"].to_numpy(np.int64).view(np.uint64)
+    place = np.argsort(known)
+    return known[place], often["times"].to_numpy(np.int64)[place]
+
+
+def shared_shingles(lists: DataFrame) -> DataFrame:
+    """(s, c1, pos, n, m) of the listed shingles that several classes list: once a class, with the number of lists they are on.
+
+    Those known to recur may be on a share of all lists: they are counted before the shuffle, and their table, which has RECURRING
+    rows at most, goes to the rows. Others are on few lists and met in one task each."""
+    tokens = lists.select("c1", "n", "cold", F.posexplode("s").alias("pos", "s"))
+    several_of = "min(c1) OVER (PARTITION BY s) < max(c1) OVER (PARTITION BY s)"
+    cold = tokens.filter("pos < cold").select(
+        "s", "c1", "pos", "n", F.expr("lag(c1) OVER (PARTITION BY s ORDER BY c1)").alias("_a"),
+        F.expr("count(1) OVER (PARTITION BY s)").alias("m"), F.expr(several_of).alias("_several"),
+    ).filter("_several AND (_a IS NULL OR _a <> c1)").drop("_a", "_several")
+    hot = tokens.filter("pos >= cold")
+    keys = hot.groupBy("s").agg(F.min("c1").alias("_a"), F.max("c1").alias("_b"), F.count(F.lit(1)).alias("m")).filter("_a < _b")
+    rows = hot.join(F.broadcast(keys.select("s", "m")), "s")
+    return cold.unionByName(rows.groupBy("s", "c1").agg(F.min("pos").alias("pos"), F.max("n").alias("n"), F.max("m").alias("m")))
+
+
+def near_duplicates(
+    docs: DataFrame, percent: int = PERCENT, size: int = WORDS, id_col: str = "doc_id", text: str = "text", links: bool = False
+) -> DataFrame:
+    """doc_id, mark (a hash of the text), n_shingles and component_id (smallest id reachable by links) of every row; with ``links`` n_links too."""
     spark = docs.sparkSession
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).cast("string").alias("text")
     )
     both = written(scanned(rows, size), "classes")
     seen = both.filter("often IS NULL").drop("often")
-    # A table of at most RECURRING numbers.
-    often = (
-        both.filter("often IS NOT NULL").groupBy("c1").agg(F.sum("often").alias("times"))
-        .orderBy(F.desc("times"), "c1").limit(RECURRING).toPandas()
-    )
-    known = often["c1"].to_numpy(np.int64).view(np.uint64)
-    place = np.argsort(known)
-    order = spark.sparkContext.broadcast((known[place], often["times"].to_numpy(np.int64)[place]))
+    counts = both.filter("often IS NOT NULL").groupBy("c1").agg(F.sum("often").alias("times"))
+    order = spark.sparkContext.broadcast(recurring(counts))  # RECURRING numbers at most
 
     classes = seen.filter("n > 0").groupBy("c1", "c2").agg(
         F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark"))).alias("first"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n")
@@ -302,63 +383,84 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = WORDS,
     classes = stored(classes.select("c1", "c2", F.col("first.doc_id").alias("rep"), F.col("first.mark").alias("mark"), "copies", "n"))
     reps = classes.filter("rep IS NOT NULL AND n > 1").select("c1", "rep", "mark", "copies")
 
-    tokens = listed(rows, order, percent, size).select("c1", "n", F.posexplode("s").alias("pos", "s"))
-    window = "OVER (PARTITION BY s ORDER BY c1)"
-    shared = (
-        tokens.select("s", "c1", "pos", "n", F.expr(f"lag(c1) {window}").alias("_a"), F.expr(f"lead(c1) {window}").alias("_b"), F.expr("first(c1) OVER (PARTITION BY s ORDER BY c1)").alias("_f"))
-        .filter("(_b IS NOT NULL AND _b <> c1) OR (_a IS NOT NULL AND _f <> c1)")
-        .select("s", "c1", "pos", "n")
-    )
+    lists = written(listed(rows, order, percent, size), "lists")
     # Where two classes had one c1, both would go where either has to.
-    shared = written(shared.join(reps.select("c1", "rep"), "c1").select("s", "rep", "pos", "n"), "shared")
-    homes = stored(shared.groupBy("rep").agg(F.min(F.struct("pos", "s"))["s"].alias("home"), F.max("n").alias("n")))
-    parts = homes.groupBy("home").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / INDEX)).cast("int").alias("parts"))
+    shared = written(shared_shingles(lists).join(reps.select("c1", "rep"), "c1").select("s", "rep", "pos", "n", "m"), "shared")
+    discard(lists)
+    homes = stored(shared.groupBy("rep").agg(F.max(F.struct("m", "s"))["s"].alias("home"), F.max("n").alias("n")))
+    parts = stored(homes.groupBy("home").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / INDEX)).cast("int").alias("parts")))
+
+    def search(visits: DataFrame) -> DataFrame:
+        """Edges that the visits (rep, home, own, round) find."""
+        every = visits.join(parts, "home").groupBy("rep").agg(F.collect_list(F.struct("home", "parts", "own", "round")).alias("visits"))
+        wanted = stored(reps.select("rep", "mark", "copies").join(every, "rep"))
+        texts = rows.filter("doc_id IS NOT NULL").withColumnRenamed("doc_id", "rep")
+        keys = wanted.select("rep", "mark")
+        if keys.count() <= BROADCAST_ROWS:  # then other texts needn't be shuffled
+            texts = texts.join(F.broadcast(keys), ["rep", "mark"], "left_semi")
+        base = texts.join(wanted, ["rep", "mark"]).dropDuplicates(["rep", "mark"])
+        return stored(searched(sent(base, size), percent, links))
+
+    edges = None
+    placed = homes.withColumn("comp", F.col("rep"))
+    split = homes.join(parts.filter("parts > 1"), "home")
+    if not links and not parts.filter("parts > 1").isEmpty():
+        bucket = F.pmod(F.xxhash64("rep"), F.lit(LEADERS))
+        leaders = split.groupBy("home", bucket.alias("_bucket")).agg(F.min(F.struct(F.xxhash64("rep", "home").alias("_h"), "rep"))["rep"].alias("rep"))
+        leads = leaders.select("rep", "home", F.lit(True).alias("_leads"))
+        met = split.select("rep", "home").join(leads, ["rep", "home"], "left")
+        edges = search(met.select("rep", "home", F.lit(True).alias("own"), F.coalesce("_leads", F.lit(False)).alias("round")))
+        early = components(edges.select(F.col("node").alias("a"), F.col("peer").alias("b")))
+        placed = homes.join(early.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+        placed = stored(placed)
+    # The largest component of each home that is split: its classes stay in their parts.
+    main = placed.join(split.select("rep"), "rep", "left_semi").groupBy("home", "comp").count()
+    main = main.groupBy("home").agg(F.max(F.struct("count", "comp"))["comp"].alias("_main"))
+
     grade = F.floor(F.log("n") * 8).cast("int")
-    graded = homes.select("rep", F.col("home").alias("own"), grade.alias("own_grade"))
-    met = shared.join(graded, "rep")
+    graded = placed.select("rep", F.col("home").alias("own"), grade.alias("own_grade"), "comp")
+    met = shared.drop("m").join(graded, "rep")
     at = met.groupBy("s", F.col("own").alias("home"), F.col("own_grade").alias("grade")).agg(
-        F.min("n").alias("_low"), F.max("n").alias("_high"), F.min("pos").alias("_pos"), F.count(F.lit(1)).alias("_members")
-    )
+        F.min("n").alias("_low"), F.max("n").alias("_high"), F.min("pos").alias("_pos"), F.count(F.lit(1)).alias("_members"),
+        F.min("comp").alias("_c1"), F.max("comp").alias("_c2"),
+    )
     # A class visits a home where sizes and places leave room for the overlap: at the first shingle that two sets share, what is left of
     # either from there on has to hold it all. And shared shingles past the list of one of the two are fewer than the overlap, so
-    # the lists have to share the rest.
+    # the lists have to share the rest. Of two homes the smaller is visited, unless links are counted.
     sizes = f"(own <> home OR own_grade <> grade OR _members > 1) AND {percent} * n <= 100 * _high AND {percent} * _low <= 100 * n"
+    once = "true" if links else "home <= own AND NOT (_c1 = comp AND _c2 = comp)"
     least, whole = f"{percent} * (n + _low)", 100 + percent
     first = f"{least} <= {whole} * (n - pos) AND {least} <= {whole} * (_high - _pos)"
     unlisted = f"greatest(n - {listed_sql('n', percent)}, _top - {listed_sql('_top', percent)})"
     near = (
-        met.alias("m").join(at.alias("t"), F.expr(f"m.s = t.s AND {sizes}"))
-        .groupBy("m.rep", "t.home", "t.grade")
+        met.alias("m").join(at.alias("t"), F.expr(f"m.s = t.s AND {sizes} AND {once}"))
+        .groupBy("m.rep", "m.comp", "t.home", "t.grade")
         .agg(F.count(F.lit(1)).alias("_both"), F.max(F.expr(first)).alias("_first"), F.max("n").alias("n"), F.min("_low").alias("_low"), F.max("_high").alias("_top"))
         .filter(f"_first AND {whole} * (_both + {unlisted}) >= {least}")
-        .select("rep", "home", "grade")
+        .select("rep", "comp", "home", "grade")
     )
     near = written(near, "visits")
+    discard(shared)
     # A class lives at its home only where one of its size is looked for.
     asked = near.select("home", "grade").distinct()
-    living = graded.join(asked, (F.col("own") == F.col("home")) & (F.col("own_grade") == F.col("grade"))).select("rep", "home", F.lit(True).alias("own"))
-    visits = living.unionByName(near.select("rep", "home", F.lit(False).alias("own"))).groupBy("rep", "home").agg(F.max("own").alias("own"))
-    visits = visits.join(parts, "home").groupBy("rep").agg(F.collect_list(F.struct("home", "parts", "own")).alias("visits"))
-    wanted = reps.select("rep", "mark", "copies").join(visits, "rep")
-    base = (
-        rows.filter("doc_id IS NOT NULL").withColumnRenamed("doc_id", "rep").join(wanted, ["rep", "mark"])
-        .dropDuplicates(["rep", "mark"])
-    )
-    found = stored(searched(sent(base, size), percent))
-
-    links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    labels = components(found.select(F.col("node").alias("a"), F.col("peer").alias("b")))
-    named = (
-        classes.join(links, F.col("rep") == F.col("node"), "left").drop("node")
-        .join(labels, F.col("rep") == F.col("node"), "left")
-        .select(
-            "c1", "c2", F.least(F.coalesce("component", "rep"), F.col("rep")).alias("component"),
-            (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"),
-        )
+    living = graded.join(asked, (F.col("own") == F.col("home")) & (F.col("own_grade") == F.col("grade")))
+    living = living.join(main, "home", "left").select("rep", "home", F.lit(True).alias("own"), (F.lit(links) | ~F.col("comp").eqNullSafe(F.col("_main"))).alias("round"))
+    visits = living.unionByName(near.select("rep", "home", F.lit(False).alias("own"), F.lit(True).alias("round")))
+    visits = visits.groupBy("rep", "home").agg(F.max("own").alias("own"), F.max(F.when(F.col("own"), F.col("round"))).alias("round"))
+    found = search(visits.withColumn("round", F.coalesce("round", F.lit(True))))
+    discard(near)
+
+    labels = components((found if edges is None else found.unionByName(edges)).select(F.col("node").alias("a"), F.col("peer").alias("b")))
+    counted = found.groupBy("node").agg(F.sum("links").alias("links"))
+    named = classes.join(labels, F.col("rep") == F.col("node"), "left").drop("node")
+    if links:
+        named = named.join(counted, F.col("rep") == F.col("node"), "left").drop("node")
+    named = named.select(
+        "c1", "c2", F.least(F.coalesce("component", "rep"), F.col("rep")).alias("component"),
+        (F.col("copies") - 1 + F.coalesce("links", F.lit(0)) if links else F.lit(0).cast("long")).alias("links"),
     )
     full = seen.join(named, ["c1", "c2"], "left")
     return full.select(
-        "doc_id", "mark", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.when(F.col("n") > 0, F.col("links")).otherwise(F.lit(0)).alias("n_links"),
+        "doc_id", "mark", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
+        *([F.when(F.col("n") > 0, F.col("links")).otherwise(F.lit(0)).alias("n_links")] if links else []),
     )

@@ -159,7 +159,7 @@ def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = jaccard.near_duplicates(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "n_shingles", "component_id", "n_links")
+    return rows.select("doc_id", "n_shingles", "component_id")
 
 
 @query()

@@ -10,6 +10,8 @@ import numpy as np
 import plain
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from emberbasin.llm import classifier, graph, jaccard, licenses, mixing, packing, rules, sharding, substrings, syncmers, warc
@@ -245,14 +247,23 @@ def test_suffix_arrays_of_chance_strings():
 # -- near duplicates ---------------------------------------------------------------------
 
 
-def test_near_duplicates_as_by_brute_force(documents, odd_rows):
+def same_groups(docs, rows, links):
+    want = plain.near_groups([(i, t) for i, t, _ in rows])
+    for r in jaccard.near_duplicates(docs, links=links).collect():
+        assert (r.n_shingles, r.component_id) == want[r.doc_id][:2], r.doc_id
+        assert not links or r.n_links == want[r.doc_id][2]
+
+
+@pytest.mark.parametrize("links", [False, True])
+def test_near_duplicates_as_by_brute_force(documents, odd_rows, links):
     rows = unique(odd_rows)
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.near_duplicates(documents(rows)).collect()}
-    assert got == plain.near_groups([(i, t) for i, t, _ in rows])
+    same_groups(documents(rows), rows, links)
 
 
-def test_near_duplicates_of_one_large_group(documents, monkeypatch):
-    monkeypatch.setattr(jaccard, "INDEX", 900)
+@pytest.mark.parametrize("links, index, kept", [(True, 900, 200_000), (False, 900, 200_000), (False, 900, 0), (False, 60, 20), (False, 400_000, 10)])
+def test_near_duplicates_of_large_groups(documents, monkeypatch, links, index, kept):
+    monkeypatch.setattr(jaccard, "INDEX", index)
+    monkeypatch.setattr(jaccard, "RECURRING", kept)
     monkeypatch.setattr(jaccard, "OFTEN", 2)
     r = np.random.default_rng(2)
     word = [f"w{i}" for i in range(400)]
@@ -264,8 +275,36 @@ def test_near_duplicates_of_one_large_group(documents, monkeypatch):
             w[at] = f"n{r.integers(0, 9)}"
         rows.append((i, " ".join(w[: 60 - int(r.integers(0, 8))]), "a"))
     rows += [(100 + i, " ".join(r.choice(word, 40)) + " " + " ".join(base[:15]), "b") for i in range(30)]
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.near_duplicates(documents(rows)).collect()}
-    assert got == plain.near_groups([(i, t) for i, t, _ in rows])
+    # Chains: each is like the next but not like the one after.
+    long = r.choice(word, 140).tolist()
+    rows += [(200 + i, " ".join(long[4 * i : 4 * i + 40]), "c") for i in range(25)]
+    same_groups(documents(rows), rows, links)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 25), min_size=3, max_size=14, unique=True), min_size=1, max_size=14))
+def test_members_unite_as_by_brute_force(lists):
+    sets = [np.array(sorted(x), np.uint64) for x in lists]
+    index = jaccard.Index(list(range(len(sets))), [1] * len(sets), sets)
+    index.unite_members(sets, 50)
+    up = list(range(len(sets)))
+    for _ in sets:
+        for i, a in enumerate(lists):
+            for j, b in enumerate(lists):
+                if 2 * len(set(a) & set(b)) >= len(set(a) | set(b)):
+                    up[i] = up[j] = min(up[i], up[j])
+    same = lambda f: [[f(i) == f(j) for j in range(len(sets))] for i in range(len(sets))]
+    assert same(index.root) == same(up.__getitem__)
+
+
+def test_texts_of_two_symbols_in_turn_are_told_apart(documents):
+    turn = str.maketrans("ab", "ba")
+    word = "a"
+    for _ in range(10):
+        word += word.translate(turn)
+    texts = [word, word.translate(turn), " ".join(word), " ".join(word.translate(turn)), word.upper()]
+    rows = [(i, t, "a") for i, t in enumerate(texts)]
+    same_groups(documents(rows), rows, True)
 
 
 def test_near_duplicates_without_and_with_repeated_ids(documents, odd_rows):
