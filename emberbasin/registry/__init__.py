@@ -10,6 +10,7 @@ from emberbasin.registry import (  # noqa: F401
     profiling,
     sources,
     text,
+    upkeep,
     water,
 )
 from emberbasin.registry.base import ORACLES, QUERIES

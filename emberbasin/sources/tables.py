@@ -39,9 +39,12 @@ def table_exists(spark: SparkSession, name: str) -> bool:
 
 
 def create_fire_table(
-    spark: SparkSession, name: str = FIRE_TABLE, location: str | None = None
+    spark: SparkSession, name: str = FIRE_TABLE, location: str | None = None, row_group_bytes: int | None = None
 ) -> str:
-    """The fire table if it is not there yet, as Parquet laid out by day of acquisition."""
+    """The fire table if it is not there yet, as Parquet laid out by day of acquisition.
+
+    Smaller row groups than Parquet's own let a box filter skip more, see ``sources.layout``.
+    """
     table = full_name(name)
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {table.rsplit('.', 1)[0]}")
     columns = ", ".join(
@@ -49,8 +52,9 @@ def create_fire_table(
         for f in FIRES.fields
     )
     at = f" LOCATION '{location}'" if location else ""
+    sized = f"OPTIONS ('parquet.block.size' = '{row_group_bytes}') " if row_group_bytes else ""
     spark.sql(
-        f"CREATE TABLE IF NOT EXISTS {table} ({columns}, {DAY_COLUMN} DATE) USING parquet "
+        f"CREATE TABLE IF NOT EXISTS {table} ({columns}, {DAY_COLUMN} DATE) USING parquet {sized}"
         f"PARTITIONED BY ({DAY_COLUMN}){at}"
     )
     return table
