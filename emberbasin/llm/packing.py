@@ -12,6 +12,7 @@ length (ranks within hashed buckets, plus the buckets before), and the rank name
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import zlib
@@ -28,7 +29,7 @@ CAPACITY = 2048
 #: Rows that share a length are ranked in buckets of about this many.
 BUCKET_ROWS = 2_000
 #: A worker that remembers more words than this forgets them all.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
 #: Bytes of text encoded at a time.
 SLICE = 2_000_000
 END = 0
@@ -39,22 +40,41 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 # -- tokens ------------------------------------------------------------------------------
 
 
+#: Texts that the shortcut is for: ASCII, and Latin letters that have one lower case and take part in no composition.
+PLAIN = re.compile("[\x00-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]*")
+#: What the pre-tokenizer parts such a text into, once it is in lower case.
+PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^ \t\n\r\x0b\x0ca-z0-9\u00df-\u00f6\u00f8-\u017f]+")
+# The normalizer and pre-tokenizer that the shortcut stands for.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 class WordIds(dict):
-    """Ids of white-space-separated words as little-endian bytes, each word encoded once.
+    """Ids of the parts of texts as little-endian bytes, each part encoded once.
 
-    The vocabulary drops white space and no token spans it, so a text's ids are those of its words end to end.
-    New words of letters are encoded together, with spaces between: each ends at the one token with the word-end mark.
+    The vocabulary's pre-tokenizer drops white space and parts words, digits and signs, and no token spans two parts, so a text's ids are those of
+    its parts end to end. New words are encoded together, with spaces between: each ends at the one token with the word-end mark.
+    Texts with other characters than :data:`PLAIN` or with special strings, and all texts for any other kind of tokenizer file, are encoded whole.
     """
 
-    #: White space to Python but a symbol to the vocabulary.
-    odd = re.compile("[\x1c-\x1f]")
-    marks = ",.!?;:*$%&#|"
-
     def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        spec = json.loads(self.tokenizer.to_str())
+        self.special = [t["content"] for t in spec.get("added_tokens") or []]
+        steps = (spec.get("normalizer") or {}).get("normalizers") or []
+        before = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        known = [x["type"] for x in steps] == NORMALIZERS and steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " "
+        known &= [x.get("type") for x in before] == ["Split", "ByteLevel"] and before[0]["pattern"] == {"Regex": PATTERN} and before[0]["invert"]
+        known &= spec["model"].get("type") == "BPE" and spec["model"].get("end_of_word_suffix") == "</w>" and not before[-1].get("use_regex")
+        self.known = bool(known and not spec["model"].get("ignore_merges"))
         ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, dtype=bool)
         ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.ends = ends
@@ -62,47 +82,29 @@ class WordIds(dict):
     def encoded(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        plain, parts = set(), {}
-        for word in words:
-            core = word.rstrip(self.marks)
-            tail = word[len(core) :]
-            if core.isascii():
-                core = core.lower()
-            if core.isalpha():
-                if core not in self:
-                    plain.add(core)
-                if tail and tail not in self:
-                    self[tail] = self.encoded(tail)
-                parts[word] = (core, tail)
-            elif word not in self:
-                self[word] = self.encoded(word)
-        plain = sorted(plain)
-        for at in range(0, len(plain), 2000):
-            some = plain[at : at + 2000]
+    def learn(self, parts: set[str]) -> None:
+        words = sorted(filter(str.isalpha, parts))
+        for part in parts.difference(words):
+            self[part] = self.encoded(part)
+        for at in range(0, len(words), 2000):
+            some = words[at : at + 2000]
             ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(some):
-                data, last = ids.tobytes(), 0
-                for word, end in zip(some, (4 * ends).tolist()):
-                    self[word] = data[last:end]
-                    last = end
-            else:  # a word that case folding takes apart
-                for word in some:
-                    self[word] = self.encoded(word)
-        for word, (core, tail) in parts.items():
-            self[word] = self[core] + self[tail] if tail else self[core]
+            data = ids.tobytes()
+            places = [0, *(4 * ends).tolist()]
+            self.update(zip(some, map(data.__getitem__, map(slice, places, places[1:]))) if len(ends) == len(some) else ((w, self.encoded(w)) for w in some))
 
     def of(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        split = [None if self.odd.search(t) else t.split() for t in texts]
+        plain = [self.known and PLAIN.fullmatch(t) is not None and not any(x in t for x in self.special) for t in texts]
+        split = [PART.findall(t.lower()) if ok else None for t, ok in zip(texts, plain)]
         new = set().union(*filter(None, split)).difference(self)
         if len(self) + len(new) > CACHE_WORDS:
             self.clear()
             new = set().union(*filter(None, split))
         self.learn(new)
         get = self.__getitem__
-        return [self.encoded(t) if words is None else b"".join(map(get, words)) for t, words in zip(texts, split)]
+        return [self.encoded(t) if parts is None else b"".join(map(get, parts)) for t, parts in zip(texts, split)]
 
 
 def word_ids(path: str) -> WordIds:
