@@ -147,11 +147,22 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, ridge: float = RIDGE,
     return Ranking(mean.tolist(), spread.tolist(), w.tolist(), threshold, slope)
 
 
-def learn(scored: DataFrame, labels: DataFrame, label: str = "quality", max_labelled: int = MAX_LABELLED) -> Ranking:
-    """Fits on labelled rows that are not held out; ``scored`` has doc_id and x."""
+def training_labels(labels: DataFrame, label: str = "quality", max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """doc_id and y of the labels to learn from: those of ids that aren't held out; of more than ``max_labelled`` about so many, never more
+    than that by much, the smallest by a hash of the id. Hashes are spread evenly, so the cut-off follows from the count."""
+    order = F.xxhash64("doc_id")
     known = labels.select(F.col("doc_id"), F.col(label).cast("int").alias("y")).filter(
         F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id"))
     )
+    count = known.count()
+    if count <= max_labelled:
+        return known
+    return known.filter(order < int(2**64 * (max_labelled / count) * 0.97) - 2**63)
+
+
+def learn(scored: DataFrame, labels: DataFrame, label: str = "quality", max_labelled: int = MAX_LABELLED) -> Ranking:
+    """Fits on labelled rows that are not held out; ``scored`` has doc_id and x, of the labelled rows at least."""
+    known = training_labels(labels, label, max_labelled)
     rows = (
         scored.join(known, "doc_id")
         .select("x", "y", "doc_id")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from emberbasin.llm import (
     classifier, infill, jaccard, licenses, mixing, packing, resampling, rules, sharding, substrings, syncmers, tokencounts, warc,
 )
-from emberbasin.llm.common import scratch_folder, stored, table, text_key
+from emberbasin.llm.common import scratch_folder, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -166,15 +166,13 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     body = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(
-        "doc_id", *text_key(F.col("text")), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body.cast("binary"), 256).alias("sha")
-    )
-    return rows.join(substrings.repeats_removed(docs), ["k1", "k2"], "left").select(
+    rows = substrings.without_repeated(docs.select("doc_id", "text"))
+    return rows.select(
         "doc_id",
-        "n_bytes",
-        F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
-        F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
-        F.coalesce("kept_sha256", "sha").alias("kept_sha256"),
+        F.octet_length(body).cast("long").alias("n_bytes"),
+        F.coalesce("cut.n_removed", F.lit(0)).alias("n_removed"),
+        F.coalesce("cut.n_spans", F.lit(0)).alias("n_spans"),
+        F.coalesce("cut.kept_sha256", F.sha2(body.cast("binary"), 256)).alias("kept_sha256"),
     )
 
 

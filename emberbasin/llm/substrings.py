@@ -25,11 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberbasin.llm.common import mixed64, several, slices, string_bytes, text_key, written
+from emberbasin.llm.common import discard, fresh_names, mixed64, own_columns, several, slices, stored, string_bytes, text_key, written
 from emberbasin.llm.shingles import BASES, STEP, powers
+from emberbasin.plans.joins import BROADCAST_BYTES, BROADCAST_ROWS
 
 LENGTH = 200
 #: Bytes of the k-mers that name windows.
@@ -348,38 +349,45 @@ def merged(windows: DataFrame) -> DataFrame:
 # -- whole tables ------------------------------------------------------------------------
 
 
-def cut_out(texts: DataFrame, keep_text: bool) -> DataFrame:
-    """k1, k2, n_removed, n_spans, kept_sha256 and (if wanted) kept; ``texts`` has text, whole and spans."""
-    schema = "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
+CUT = "struct<n_removed:bigint,n_spans:bigint,kept_sha256:string,kept:binary>"
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in schema.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-        for batch in slices(batches, "text", SLICE):
-            rows = []
-            for k1, k2, text, whole, spans in zip(*(batch.column(i).to_pylist() for i in (0, 1)), batch.column(2), *(batch.column(i).to_pylist() for i in (3, 4))):
-                data = memoryview(text.as_buffer())
-                found, end, parts, removed, count = [(0, len(data))] if whole else sorted((s["low"], s["high"]) for s in spans), 0, [], 0, 0
-                for low, high in found:
-                    if low > end or not count:
-                        parts.append(data[end:low])
-                        count += 1
-                        removed += high - low
-                        end = high
-                    elif high > end:
-                        removed += high - end
-                        end = high
-                parts.append(data[end:])
-                kept = b"".join(parts)
-                rows.append((k1, k2, removed, count, hashlib.sha256(kept).hexdigest(), *[kept] * keep_text))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    return texts.select("k1", "k2", "text", "whole", "spans").mapInArrow(work, schema)
+def cut_out(text: Column, whole: Column, spans: Column, keep_text: bool = False) -> Column:
+    """A struct of n_removed, n_spans, kept_sha256 and (if wanted) kept, the bytes left, of a text that loses ``spans``, or all if ``whole``.
 
+    Null where ``whole`` is."""
 
-def repeats_removed(docs: DataFrame, keep_text: bool = False, length: int = LENGTH, seed: int = SEED, text: str = "text") -> DataFrame:
-    """k1, k2, n_removed, n_spans, kept_sha256 (and kept bytes) of each different text that loses bytes; join by :func:`text_key`."""
+    def work(texts: pa.Array, wholes: pa.Array, lists: pa.Array) -> pa.Array:
+        rows = []
+        for text, whole, spans in zip(texts, wholes.to_pylist(), lists.to_pylist()):
+            if whole is None:
+                rows.append((None, None, None, None))
+                continue
+            data = memoryview(text.as_buffer())
+            found, end, parts, removed, count = [(0, len(data))] if whole else sorted((s["low"], s["high"]) for s in spans or []), 0, [], 0, 0
+            for low, high in found:
+                if low > end or not count:
+                    parts.append(data[end:low])
+                    count += 1
+                    removed += high - low
+                    end = high
+                elif high > end:
+                    removed += high - end
+                    end = high
+            parts.append(data[end:])
+            kept = b"".join(parts)
+            rows.append((removed, count, hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
+        columns, kinds = list(zip(*rows)) or [[]] * 4, [pa.int64(), pa.int64(), pa.string(), pa.binary()]
+        none = pa.array([r[0] is None for r in rows], pa.bool_())
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["n_removed", "n_spans", "kept_sha256", "kept"], mask=none)
+
+    return F.arrow_udf(work, CUT)(text, whole, spans)
+
+
+def repeat_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, text: str = "text") -> DataFrame:
+    """k1, k2, whole and spans (an array of low, high) of each different text that loses bytes; narrow, and stored.
+
+    ``whole``: the text has copies, so all of it goes; it has at least ``length`` bytes."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     long_ones = docs.select(body.alias("text")).filter(F.octet_length("text") >= length).select(*text_key(F.col("text")), "text")
     every = runs(long_ones, length, seed).withColumn("_place", F.xxhash64("k1", "k2", "at"))
@@ -388,8 +396,8 @@ def repeats_removed(docs: DataFrame, keep_text: bool = False, length: int = LENG
         F.min("_place").alias("_from"), F.max("_place").alias("_to"), F.min("d").alias("_low"), F.max("d").alias("_high"), F.max("tied").alias("_tied")
     ).filter("_from <> _to OR _tied").select("h", "_low", "_high", (F.col("_from") != F.col("_to")).alias("_several"))
     # Read three times below, so it is written once.
-    found = written(every.drop("_place", "tied").join(again, "h"), "runs").dropDuplicates(["h", "k1", "k2", "at"])
-    base = long_ones.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    table = written(every.drop("_place", "tied").join(again, "h"), "runs")
+    found = table.dropDuplicates(["h", "k1", "k2", "at"])
     span = ["k1", "k2", F.col("at").alias("low"), (F.col("at") + F.col("n") + (length - 1)).alias("high")]
     # One segment, on several places: all of its windows are repeats.
     solid = found.filter("_several AND _low = _high").select(*span)
@@ -397,7 +405,7 @@ def repeats_removed(docs: DataFrame, keep_text: bool = False, length: int = LENG
     kinds = mixed.groupBy("h", "d").agg(F.count(F.lit(1)).alias("_times"), F.min(F.struct("k1", "k2", "at", "n")).alias("one"))
     copied = mixed.join(kinds.filter("_times > 1").select("h", "d"), ["h", "d"]).select(*span)
     parts = kinds.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / SEGMENTS).cast("int").alias("parts")).filter("parts > 1")
-    wanted = (
+    wanted = stored(
         kinds.join(parts, "h", "left")
         .select(
             "h", F.coalesce(F.pmod("d", F.col("parts")), F.lit(0)).cast("int").alias("part"), F.coalesce("parts", F.lit(1)).alias("parts"),
@@ -405,13 +413,41 @@ def repeats_removed(docs: DataFrame, keep_text: bool = False, length: int = LENG
         )
         .groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "part", "parts", "k1", "k2", "at", "n", "alone")).alias("wanted"))
     )
-    cut = segments(base.join(wanted, ["k1", "k2"]), length)
+    # Of copies of a text one is cut into segments; where few texts are wanted, only those are shuffled.
+    texts, keys = long_ones, wanted.select("k1", "k2")
+    if keys.count() <= BROADCAST_ROWS:
+        texts = texts.join(F.broadcast(keys), ["k1", "k2"], "left_semi")
+    cut = segments(texts.groupBy("k1", "k2").agg(F.first("text").alias("text")).join(wanted, ["k1", "k2"]), length)
     solved = shard_repeats(cut, length)
+    solved = written(solved, "solved")
     within = solved.filter("w1 IS NULL").select("k1", "k2", "low", "high")
     across = merged(solved.filter("w1 IS NOT NULL"))
     spans = (
         solid.unionByName(copied).unionByName(within).unionByName(across)
         .groupBy("k1", "k2").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     )
-    losing = base.join(spans, ["k1", "k2"], "left").filter("copies > 1 OR spans IS NOT NULL")
-    return cut_out(losing.withColumn("whole", F.col("copies") > 1), keep_text)
+    copies = long_ones.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    none = F.array().cast("array<struct<low:bigint,high:bigint>>")
+    whole = F.col("copies").isNotNull()
+    losing = stored(
+        spans.join(copies, ["k1", "k2"], "full").select("k1", "k2", whole.alias("whole"), F.when(whole, none).otherwise(F.col("spans")).alias("spans"))
+    )
+    discard(table)
+    discard(solved)
+    return losing
+
+
+def without_repeated(docs: DataFrame, keep_text: bool = False, length: int = LENGTH, seed: int = SEED, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with the struct ``cut`` (:func:`cut_out`), null where the text loses nothing; under another name where docs has that one.
+
+    Spans go to the texts, not the other way round: where they are measured to be small they are broadcast and no text is shuffled."""
+    (k1, k2, whole, spans, cut) = fresh_names(docs, "_k1", "_k2", "_whole", "_spans", "cut")
+    losing = repeat_spans(docs, length, seed, text).select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("whole").alias(whole), F.col("spans").alias(spans))
+    rows, places = losing.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(spans)), F.lit(0))).first()
+    if rows <= BROADCAST_ROWS and 48 * rows + 16 * places <= BROADCAST_BYTES:
+        losing = F.broadcast(losing)
+    marked = docs.select(*own_columns(docs), *[k.alias(n) for k, n in zip(text_key(F.col(text)), (k1, k2))])
+    joined = marked.join(losing, [k1, k2], "left")
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    loses = F.col(whole).isNotNull()  # other texts don't go to Python
+    return joined.select(*own_columns(docs), cut_out(F.when(loses, body), F.col(whole), F.col(spans), keep_text).alias(cut))

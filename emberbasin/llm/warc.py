@@ -6,6 +6,9 @@ segment number 1, each further part a continuation record that names its origin;
 Reading parses each archive, groups continuation records by their origin, orders them by segment number, verifies
 that none is missing and that the total length holds, decodes the chunks, and compares the digest.
 
+Archives of others are read too, gzipped or not: records without the fields of ours, other record types, digests in base32. A damaged
+record doesn't end the job: it is a row that says what is wrong, and reading goes on at the next place where a record begins.
+
 Null html is an empty payload. A null url leaves the target header out; line breaks in a url are dropped. Of repeated rows with one payload of
 1000 bytes or more one is the response. A null page_id is written as an empty header and read as null; it is the response only if no row of its payload has an id.
 An empty table gives an empty archive. ``pages`` has to come from files or a written table, whose scan always deals the same rows to a task.
@@ -13,7 +16,10 @@ An empty table gives an empty archive. ``pages`` has to come from files or a wri
 
 from __future__ import annotations
 
+import base64
+import binascii
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,6 +27,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from emberbasin.llm.common import stored
+
 REVISIT_BYTES = 1000
 #: Code points of a message in a record, and of a chunk in a message.
 SEGMENT = 32_768
@@ -32,7 +40,7 @@ EOL = "\r\n"
 
 RECORD = (
     "page_id long, record_id string, record_type string, target_uri string, payload_digest string, refers_to string, "
-    "origin_id string, segment int, total_length long, block binary"
+    "origin_id string, segment int, total_length long, damage string, block binary"
 )
 
 
@@ -119,48 +127,102 @@ def records(pages: DataFrame, segment: int = SEGMENT, chunk: int = CHUNK, date:
 
 
 def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, chunk: int = CHUNK, date: str = DATE) -> None:
-    """Archives of at most ``FILE_RECORDS`` records each below ``path``."""
-    records(pages, segment, chunk, date).write.option("lineSep", EOL + EOL).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    """Gzipped archives of at most ``FILE_RECORDS`` records each below ``path``."""
+    lines = records(pages, segment, chunk, date).write.option("lineSep", EOL + EOL).option("maxRecordsPerFile", FILE_RECORDS)
+    lines.option("compression", "gzip").text(path)
 
 
 # -- reading -----------------------------------------------------------------------------
 
 
-def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The header fields (names in lower case) and the block of each record of an archive."""
+def unzipped(data: bytes) -> tuple[bytes, str | None]:
+    """The content of a gzip file of any number of members, such as one for each record; what can be read, and what is wrong with the rest."""
+    if data[:2] != b"\x1f\x8b":
+        return data, None
+    parts = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            parts.append(member.decompress(data))
+        except zlib.error as wrong:
+            return b"".join(parts), f"gzip: {wrong}"
+        if not member.eof:
+            return b"".join(parts), "gzip: cut short"
+        data = member.unused_data
+    return b"".join(parts), None
+
+
+def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
+    """The header fields (names in lower case), the block and the damage, if any, of each record of an archive."""
+    data, wrong = unzipped(data)
     at = 0
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8").split(EOL)
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        fields = {}
-        for text in lines[1:]:
-            name, _, value = text.partition(":")
-            fields[name.strip().lower()] = value.strip()
-        start = end + 4
-        length = int(fields["content-length"])
-        if start + length > len(data):
-            raise ValueError(f"the record at byte {at} is cut short")
-        yield fields, data[start : start + length]
-        at = start + length + 4
+        fields, block, damage, after = one_record(data, at)
+        yield fields, block, damage
+        if damage is None:
+            at = after
+        else:
+            found = data.find(b"\r\nWARC/", at + 1)
+            at = found + 2 if found >= 0 else len(data)
+        while data[at : at + 2] == b"\r\n":
+            at += 2
+    if wrong:
+        yield {}, b"", wrong
+
+
+def one_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, str | None, int]:
+    """Fields, block and damage of the record at a place, and where it ends."""
+    end = data.find(b"\r\n\r\n", at)
+    if not data.startswith(b"WARC/", at):
+        return {}, b"", f"no record at byte {at}", at
+    if end < 0:
+        return {}, b"", f"the header at byte {at} is cut short", at
+    fields = {}
+    for text in data[at:end].decode("utf-8", "replace").split(EOL)[1:]:
+        name, _, value = text.partition(":")
+        fields[name.strip().lower()] = value.strip()
+    start, length = end + 4, fields.get("content-length", "")
+    if not (length.isascii() and length.isdigit()):
+        return fields, b"", f"the record at byte {at} has no length", at
+    stop = start + int(length)
+    if stop > len(data):
+        return fields, b"", f"the record at byte {at} is cut short", at
+    if stop < len(data) and not data.startswith(b"\r\n", stop):
+        return fields, b"", f"the record at byte {at} isn't as long as it says", at
+    return fields, data[start:stop], None, stop
+
+
+def whole_number(text: str | None, bits: int = 63) -> int | None:
+    return int(text) if text and text.isascii() and text.isdigit() and int(text) < 1 << bits else None
+
+
+def sha1_digest(text: str | None) -> str | None:
+    """A SHA-1 digest field as lower-case hex, whether it is written in hex or in base32; other digests as they are."""
+    if not text:
+        return None
+    label, _, value = text.rpartition(":")
+    if label.lower() not in ("", "sha1"):
+        return text
+    try:
+        return base64.b32decode(value.upper()).hex() if len(value) == 32 else value.lower()
+    except binascii.Error:
+        return value.lower()
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all archives below ``path``, continuation records among them."""
+    """The records of all archives below ``path``, continuation records and damaged ones among them."""
     names = [f.split()[0] for f in RECORD.split(", ")]
-    kinds = [pa.int64(), *[pa.string()] * 6, pa.int32(), pa.int64(), pa.binary()]
+    kinds = [pa.int64(), *[pa.string()] * 6, pa.int32(), pa.int64(), pa.string(), pa.binary()]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
                 rows, held = [], 0
-                for f, block in parsed(content.as_py()):
-                    number = lambda name: int(f[name]) if f.get(name) else None  # noqa: B023, E731
+                for f, block, damage in parsed(content.as_py()):
                     rows.append((
-                        number("x-page-id"), f["warc-record-id"], f["warc-type"], f.get("warc-target-uri"),
-                        (f.get("warc-payload-digest") or "").removeprefix("sha1:") or None, f.get("warc-refers-to"),
-                        f.get("warc-segment-origin-id"), number("warc-segment-number"), number("warc-segment-total-length"), block,
+                        whole_number(f.get("x-page-id")), f.get("warc-record-id"), f.get("warc-type"), f.get("warc-target-uri"),
+                        sha1_digest(f.get("warc-payload-digest")), f.get("warc-refers-to"), f.get("warc-segment-origin-id"),
+                        whole_number(f.get("warc-segment-number"), 31), whole_number(f.get("warc-segment-total-length")), damage, block,
                     ))
                     held += len(block)
                     if held > 4_000_000:
@@ -180,6 +242,8 @@ def dechunked(body: bytes) -> bytes:
     while True:
         end = body.index(b"\r\n", at)
         size = int(body[at:end].partition(b";")[0], 16)
+        if size < 0:
+            raise ValueError("a chunk of less than nothing")
         if not size:
             return b"".join(parts)
         parts.append(body[end + 2 : end + 2 + size])
@@ -194,15 +258,17 @@ def payload_of(message: bytes) -> bytes:
 
 
 def reassembled(read: DataFrame) -> DataFrame:
-    """Whole records: page_id, record_id, record_type, target_uri, payload_digest, refers_to, payload, whole.
+    """Whole records: page_id, record_id, record_type, target_uri, payload_digest, refers_to, payload, payload_bytes, payload_sha1, whole, damage.
 
-    ``whole`` is false, and the payload null, where a segment is missing or the length or digest differs.
+    ``whole`` is false, and the payload null, where a record is damaged, a segment is missing or the length or digest differs; a record without
+    a digest, or with another than SHA-1, is taken at its word. ``damage`` says why. Of records that aren't a response or revisit the block is the payload.
     Only segmented records are shuffled; a group is one record.
     """
     first = F.col("origin_id").isNull()
-    fields = ["page_id", "record_type", "target_uri", "payload_digest", "refers_to"]
-    single = read.filter(first & F.col("segment").isNull()).select("record_id", *fields, "block", F.lit(True).alias("whole"))
-    pieces = read.filter(~first | F.col("segment").isNotNull())
+    fields = ["page_id", "record_type", "target_uri", "payload_digest", "refers_to", "damage"]
+    alone = (first & F.col("segment").isNull()) | F.col("damage").isNotNull() | F.coalesce("origin_id", "record_id").isNull()
+    single = read.filter(alone).select("record_id", *fields, "block", F.col("damage").isNull().alias("whole"))
+    pieces = read.filter(~alone)
     grouped = pieces.groupBy(F.coalesce("origin_id", "record_id").alias("record_id")).agg(
         *[F.max(F.when(first, F.col(c))).alias(c) for c in fields],
         F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts"),
@@ -220,34 +286,44 @@ def reassembled(read: DataFrame) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            payloads, fine = [], []
+            payloads, fine, sizes, digests, damages = [], [], [], [], []
             at = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            for block, whole, kind, digest in zip(at["block"], at["whole"].to_pylist(), at["record_type"].to_pylist(), at["payload_digest"].to_pylist()):
-                payload = None
+            for block, whole, kind, digest, damage in zip(at["block"], *(at[n].to_pylist() for n in ("whole", "record_type", "payload_digest", "damage"))):
+                payload, found = None, None
                 if whole and kind != "revisit":
                     try:
-                        payload = payload_of(block.as_py())
-                    except ValueError:
-                        payload = None
-                    if payload is not None and hashlib.sha1(payload).hexdigest() != digest:
-                        payload = None
+                        payload = payload_of(block.as_py()) if kind == "response" else block.as_py()
+                    except ValueError as wrong:
+                        damage = f"chunks: {wrong}"
+                    else:
+                        found = hashlib.sha1(payload).hexdigest()
+                        if digest is not None and ":" not in digest and found != digest:
+                            payload, damage = None, "the digest differs"
+                elif not whole:
+                    damage = damage or "segments are missing, or their length differs"
                 payloads.append(payload)
                 fine.append(bool(whole and (kind == "revisit" or payload is not None)))
-            kept = ["record_id", *fields]
-            yield pa.RecordBatch.from_arrays([*[at[n] for n in kept], pa.array(payloads, pa.binary()), pa.array(fine)], [*kept, "payload", "whole"])
+                sizes.append(len(payload) if payload is not None else None)
+                digests.append(found if payload is not None else None)
+                damages.append(damage)
+            kept = ["record_id", *fields[:-1]]
+            made = [pa.array(payloads, pa.binary()), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(fine, pa.bool_()), pa.array(damages, pa.string())]
+            yield pa.RecordBatch.from_arrays([*[at[n] for n in kept], *made], [*kept, "payload", "payload_bytes", "payload_sha1", "whole", "damage"])
 
     return both.mapInArrow(
         decode,
-        "record_id string, page_id long, record_type string, target_uri string, payload_digest string, refers_to string, payload binary, whole boolean",
+        "record_id string, page_id long, record_type string, target_uri string, payload_digest string, refers_to string, "
+        "payload binary, payload_bytes long, payload_sha1 string, whole boolean, damage string",
     )
 
 
 def resolved(rows: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to and whole of each page; a revisit has what its response holds."""
-    seen = rows.select(
-        "record_id", "page_id", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.sha1("payload").alias("digest"), "payload_digest", "whole",
-    )
+    """page_id, payload_bytes, payload_digest, record_type, refers_to and whole of each page; a revisit has what its response holds.
+
+    Archives are parsed once for it: what is joined is stored without the payloads."""
+    seen = stored(rows.select(
+        "record_id", "page_id", "record_type", "refers_to", "payload_bytes", F.col("payload_sha1").alias("digest"), "payload_digest", "whole",
+    ))
     responses = seen.filter("record_type = 'response'").select(
         F.col("record_id").alias("to_id"), F.col("page_id").alias("to_page"), F.col("payload_bytes").alias("to_bytes"),
         F.col("digest").alias("to_digest"), F.col("whole").alias("to_whole"),

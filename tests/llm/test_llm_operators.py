@@ -183,14 +183,11 @@ def test_shards_follow_a_time(spark):
 
 
 def cut(docs, length, seed):
-    found = substrings.repeats_removed(docs, keep_text=True, length=length, seed=seed)
-    joined = docs.select("doc_id", "text", *text_key(F.col("text"))).join(found, ["k1", "k2"], "left")
     out = {}
-    for r in joined.collect():
-        kept = bytes(r.kept) if r.kept is not None else (r.text or "").encode()
-        if r.kept is not None:
-            assert hashlib.sha256(kept).hexdigest() == r.kept_sha256
-        out[r.doc_id] = (r.n_removed or 0, r.n_spans or 0, kept)
+    for r in substrings.without_repeated(docs, keep_text=True, length=length, seed=seed).collect():
+        kept = bytes(r.cut.kept) if r.cut is not None else (r.text or "").encode()
+        assert r.cut is None or hashlib.sha256(kept).hexdigest() == r.cut.kept_sha256
+        out[r.doc_id] = (r.cut.n_removed, r.cut.n_spans, kept) if r.cut is not None else (0, 0, kept)
     return out
 
 
@@ -575,3 +572,50 @@ def test_fingerprints_of_odd_tables(documents, odd_rows):
     assert syncmers.with_edited(documents(odd_rows)).count() == len(odd_rows)
     one = syncmers.with_edited(documents([(5, "only text here", "a")])).first()
     assert one.edited == "only text h" + "onl"
+
+
+def foreign(kind, block, digest=None, more=""):
+    digest = f"WARC-Payload-Digest: {digest}\r\n" if digest else ""
+    return f"WARC/1.0\r\nWARC-Type: {kind}\r\n{digest}{more}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+def test_archives_of_others_and_damaged_ones(spark, tmp_path):
+    import base64
+    import gzip
+
+    body = b"<html>some page</html>"
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+    sha = hashlib.sha1(body)
+    good = foreign("response", http, "sha1:" + base64.b32encode(sha.digest()).decode(), "WARC-Record-ID: <urn:a>\r\n")
+    parts = [
+        foreign("warcinfo", b"software: other\r\n"), good, foreign("response", http, "sha1:" + "0" * 40), foreign("response", http, "md5:abc"),
+        foreign("response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\nzz\r\n"), b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: no\r\n\r\nrubbish\r\n\r\n",
+        foreign("response", http).replace(b"Content-Length: ", b"Content-Length: 1"), good,
+    ]
+    folder = tmp_path / "w"
+    folder.mkdir()
+    (folder / "a.warc").write_bytes(b"".join(parts))
+    (folder / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, parts)))
+    (folder / "c.warc.gz").write_bytes(gzip.compress(good) + gzip.compress(good * 50)[:-40])
+    (folder / "d.warc").write_bytes(good + good[:-30])
+    (folder / "e.warc").write_bytes(b"")
+    (folder / "f.warc").write_bytes(b"nothing of the kind")
+    rows = warc.reassembled(warc.read_records(spark, str(folder))).collect()
+    sound = [r for r in rows if r.record_id == "<urn:a>" and r.whole]
+    assert len(sound) >= 6 and all(bytes(r.payload) == body and r.payload_sha1 == sha.hexdigest() and r.damage is None for r in sound)
+    info = [r for r in rows if r.record_type == "warcinfo"]
+    assert len(info) == 2 and all(r.whole and bytes(r.payload) == b"software: other\r\n" for r in info)
+    said = Counter((r.damage or "").split(" at byte")[0].split(":")[0] for r in rows if not r.whole)
+    assert said["the digest differs"] == 2 and said["chunks"] == 2 and said["gzip"] == 1 and said["no record"] == 1 and all(said) and "" not in said
+    assert warc.resolved(warc.reassembled(warc.read_records(spark, str(folder)))).count() == len(rows)
+
+
+def test_ids_after_marks_and_of_other_files():
+    r = np.random.default_rng(12)
+    signs = list("abzE sS't.,;!%09 \n\x1c\x85\xa0éÉßİıſ日́ŉ²ΣςⅧ") + ["<|endoftext|>", "'re", "İ;"]
+    texts = ["".join(r.choice(signs, r.integers(1, 30))) for _ in range(8000)] + ["İ;", "İstanbul,", "it's 12ab!!"]
+    words = packing.WordIds(TOKENS)
+    assert words.known and not packing.WordIds(public_tokenizers.path("byte_bpe_50k.json")).known
+    for ids in (words, packing.WordIds(public_tokenizers.path("byte_bpe_50k.json"))):
+        wrong = [t for t, found in zip(texts, ids.of(texts)) if found != ids.encoded(t)]
+        assert not wrong, wrong[:3]
