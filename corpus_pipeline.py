@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberbasin.llm import classifier, jaccard, mixing, packing, substrings
-from emberbasin.llm.common import scratch_folder, stored, table, text_key, word_count, written
+from emberbasin.llm.common import scratch_folder, stored, table, word_count, written
 
 
 def fresh(docs: DataFrame, *wanted: str) -> list[str]:
@@ -43,8 +43,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The score is an expression over the row's own text, so rows stay where they are.
     """
-    body = docs.select("doc_id", "text")
-    ranking = classifier.learn(stored(classifier.with_features(body)), table(spark, sf_dir, "labels"))
+    labels = table(spark, sf_dir, "labels")
+    chosen = classifier.training_labels(labels).select("doc_id").distinct()  # classifier.MAX_LABELLED ids, so few enough to broadcast
+    body = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")
+    ranking = classifier.learn(classifier.with_features(body), labels)
     (t, w, lines, x, row) = fresh(docs, "_t", "_w", "_l", "_x", "_row")
     # A condition on a column that isn't deterministic stays above it, so features are worked out once a row, not once for each use.
     scored = classifier.staged(docs, t, w, lines, x).select("*", F.monotonically_increasing_id().alias(row))
@@ -64,19 +66,16 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 200-byte strings that occur elsewhere too; ``n_chars`` follows. A character that a cut divides goes as well."""
-    keys = fresh(docs, "k1", "k2")
-    cut = substrings.repeats_removed(docs, keep_text=True).select(
-        F.col("k1").alias("_c1"), F.col("k2").alias("_c2"), F.col("kept").alias("_kept")
-    )
-    marked = docs.select(*own(docs), *[k.alias(n) for k, n in zip(text_key(F.col("text")), keys)])
-    joined = marked.join(cut, (F.col(keys[0]) == F.col("_c1")) & (F.col(keys[1]) == F.col("_c2")), "left")
-    text = F.when(F.col("_kept").isNull(), F.col("text")).otherwise(valid_text(F.col("_kept")))
+    rows = substrings.without_repeated(docs, keep_text=True)
+    cut = rows.columns[-1]
+    kept = F.col(cut)["kept"]
+    text = F.when(kept.isNull(), F.col("text")).otherwise(valid_text(kept))
     columns = dict(zip(docs.columns, own(docs)))
     columns["text"] = text
     if "n_chars" in columns:
         size = F.length(text).cast(docs.schema["n_chars"].dataType)
-        columns["n_chars"] = F.when(F.col("_kept").isNull(), columns["n_chars"]).otherwise(size)
-    return joined.select(*[c.alias(n) for n, c in columns.items()])
+        columns["n_chars"] = F.when(kept.isNull(), columns["n_chars"]).otherwise(size)
+    return rows.select(*[c.alias(n) for n, c in columns.items()])
 
 
 def valid_text(kept: Column) -> Column:
