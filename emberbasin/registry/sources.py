@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberbasin.fixtures import duck, fixture, table
 from emberbasin.operators.cleaning import clean_detections, clean_region_lookup
+from emberbasin.plans.lineage import cut_lineage
 from emberbasin.plans.local import local_rows
 from emberbasin.registry.base import ORACLES, query, scratch
 from emberbasin.registry.cleaning import BASELINE_VALUES, CLEAN_FEED, marked
 from emberbasin.schemas import FEED, FIRES, REGION_TABLE, WATER_TABLES
 from emberbasin.sources import files, tables
+from emberbasin.sources.pages import FeedPages
 from emberbasin.streaming.ingest import once_per_key, start_ingest, stream_feed_pages
+from emberbasin.streaming.sightings import PROVIDER, ROCKS, sightings
 
 
 @query(
@@ -64,12 +67,59 @@ def source_feed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_feed_pages(spark, path)
 
 
+PAGE = 250
+
+
+def _land_offsets(feed: DataFrame, path: str, size: int) -> None:
+    """The feed as full JSON pages and a last short one, each in a folder of its offset.
+
+    Rows are numbered by ranges: a count a range, and numbers within it.
+    """
+    order = ["OBJECTID", F.xxhash64(*feed.columns)]
+    dealt = feed.repartitionByRange(8, *order).select("*", F.spark_partition_id().alias("_range"))
+    dealt = cut_lineage(dealt)
+    sums = dealt.groupBy("_range").count()
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1 + F.col("_before")
+    row = F.struct(F.struct(*[F.col(c) for c in feed.columns]).alias("attributes"))
+    numbered = dealt.join(F.broadcast(sums), "_range").select(place.alias("_place"), row.alias("_row"))
+    numbered = numbered.select((F.floor(F.col("_place") / size) * size).alias("offset"), "_row")
+    texts = numbered.groupBy("offset").agg(F.to_json(F.struct(F.collect_list("_row").alias("features"))).alias("value"))
+    texts.write.partitionBy("offset").text(path)
+
+
 def _new_table(spark: SparkSession, name: str) -> str:
     location = scratch(spark, name)
     unique = f"main.{name}_{location.rsplit('-', 1)[1]}"
     return tables.create_fire_table(spark, unique, location)
 
 
+@query(f"{duck('feed')} SELECT * FROM feed")
+def source_paged_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages by the data source, a partition a page."""
+    path = scratch(spark, "offsets")
+    _land_offsets(fixture(spark, sf_dir, "feed").select(*FEED.fieldNames()), path, PAGE)
+    spark.dataSource.register(FeedPages)
+    return spark.read.format("feed_pages").option("pageSize", PAGE).load(path)
+
+
+@query(f"{CLEAN_FEED} SELECT DISTINCT * FROM clean")
+def stream_paged_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pages as a stream into a new table."""
+    path = scratch(spark, "paged")
+    _land_offsets(fixture(spark, sf_dir, "feed").select(*FEED.fieldNames()), f"{path}/in", PAGE)
+    spark.dataSource.register(FeedPages)
+    name = _new_table(spark, "paged")
+    feed = spark.readStream.format("feed_pages").option("pageSize", PAGE).load(f"{path}/in")
+    query = start_ingest(feed, name, f"{path}/check")
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return spark.table(name).select(*FIRES.fieldNames())
+
+
 @query(f"{CLEAN_FEED} SELECT DISTINCT * FROM clean")
 def source_incremental_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = clean_detections(fixture(spark, sf_dir, "feed"))
@@ -193,6 +243,27 @@ def stream_once_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("uid string").parquet(f"{path}/out")
 
 
+@query(
+    f"""{CLEAN_FEED} SELECT uid, CASE WHEN row_number() OVER w = 1 THEN 'first' ELSE 'update' END AS kind, row_number() OVER w AS pull, hours_old,
+      min(hours_old) OVER (PARTITION BY uid) AS first_hours_old, max(hours_old) OVER w AS last_hours_old
+    FROM clean WINDOW w AS (PARTITION BY uid ORDER BY hours_old ROWS UNBOUNDED PRECEDING)"""
+)
+def stream_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First sights and repeats of the feed's detections, by keyed state; all rows come in one batch."""
+    path = scratch(spark, "sightings")
+    feed = fixture(spark, sf_dir, "feed").select(*FEED.fieldNames())
+    feed.write.parquet(f"{path}/in")
+    rows = sightings(clean_detections(spark.readStream.schema(feed.schema).parquet(f"{path}/in")))
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKS)
+    try:
+        # One batch: with a time-to-live batches without rows never end by themselves.
+        rows.writeStream.format("parquet").option("checkpointLocation", f"{path}/check").trigger(once=True).start(f"{path}/out").awaitTermination()
+    finally:
+        spark.conf.set(PROVIDER, before)
+    return spark.read.schema(rows.schema).parquet(f"{path}/out")
+
+
 class _Store:
     """A database of its own, dropped with its tables at the end."""
 

@@ -34,3 +34,34 @@ def rolling_emissions(
             "total_co2e_kg",
         )
     )
+
+
+SUMS = ["fire_count", "total_energy_mj", "co2_kg", "total_co2e_kg"]
+
+
+def sliding_emissions(
+    detections: DataFrame, span: str = "24 hours", step: str = "1 hour", lateness: str = LATENESS
+) -> DataFrame:
+    """Counts and emission totals of the last ``span``, anew each ``step``, by confidence; steps without a fire in the span have no row.
+
+    Two aggregations in a row: fires into tumbling windows of one step, then those windows' few rows into the
+    spans they are part of. So a fire isn't repeated for each span, sums are combined before the first shuffle whatever share of the fires
+    one confidence has, and the state holds a row for each open step, span and confidence. Works on a stream
+    (append mode: a span comes out once the watermark has passed its end) and on a table alike.
+    """
+    timed = known_power(detections).withColumn("event_time", F.col(TIME).cast("timestamp"))
+    steps = (
+        timed.withWatermark("event_time", lateness)
+        .groupBy(F.window("event_time", step).alias("step"), "confidence")
+        .agg(*emission_totals(F.col("frp_mw"), F.col("hours_old")))
+    )
+    return (
+        steps.groupBy(F.window(F.window_time("step"), span, step).alias("window"), "confidence")
+        .agg(*[F.sum(c).alias(c) for c in SUMS])
+        .select(
+            F.col("window.start").cast("timestamp_ntz").alias("window_start"),
+            F.col("window.end").cast("timestamp_ntz").alias("window_end"),
+            "confidence",
+            *SUMS,
+        )
+    )
