@@ -157,3 +157,28 @@ def box_centre() -> list[Column]:
         ((F.col("min_lon") + F.col("max_lon")) / 2).alias("centre_lon"),
         ((F.col("max_lat") - F.col("min_lat")) / 2 * 111).alias("radius_km"),
     ]
+
+
+EARTH_KM = 6371.0
+
+
+def great_circle_km(lat: Column, lon: Column, other_lat: Column, other_lon: Column) -> Column:
+    """Distance over the globe by the haversine formula, the short way round."""
+    a, b = F.radians(lat), F.radians(other_lat)
+    up, along = F.sin((b - a) / 2), F.sin(F.radians(other_lon - lon) / 2)
+    return 2 * EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), up * up + F.cos(a) * F.cos(b) * along * along)))
+
+
+def box_around_km(latitude: Column, longitude: Column, km: Column) -> list[Column]:
+    """The four edges of the smallest box that holds a circle; may reach past 180 degrees, and is the whole round where it holds a pole."""
+    angle = km / EARTH_KM
+    by = F.degrees(angle) * (1 + 1e-9) + 1e-9
+    south, north = F.greatest(latitude - by, F.lit(-90.0)), F.least(latitude + by, F.lit(90.0))
+    pole = (F.abs(latitude) + by >= 90) | (angle >= 1.5)
+    side = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(angle) / F.cos(F.radians(latitude))))) * (1 + 1e-9) + 1e-9
+    return [
+        south.alias("min_lat"),
+        north.alias("max_lat"),
+        F.when(pole, F.lit(-180.0)).otherwise(longitude - side).alias("min_lon"),
+        F.when(pole, F.lit(180.0)).otherwise(longitude + side).alias("max_lon"),
+    ]

@@ -14,7 +14,7 @@ from emberbasin.plans.local import local_rows
 from emberbasin.registry.base import ORACLES, query, scratch
 from emberbasin.registry.cleaning import BASELINE_VALUES, CLEAN_FEED, marked
 from emberbasin.schemas import FEED, FIRES, REGION_TABLE, WATER_TABLES
-from emberbasin.sources import files, tables
+from emberbasin.sources import files, publish, tables
 from emberbasin.sources.pages import FeedPages
 from emberbasin.streaming.ingest import once_per_key, start_ingest, stream_feed_pages
 from emberbasin.streaming.sightings import PROVIDER, ROCKS, sightings
@@ -363,3 +363,39 @@ def source_dataset_info(spark: SparkSession, sf_dir: str) -> DataFrame:
             found = [tuple(r) for r in info.select("rows", "position", "column", "type").collect()] if info else [(None,) * 4]
             rows += [(name, there, *r) for r in found]
     return local_rows(spark, rows, "dataset string, there boolean, rows bigint, position int, `column` string, type string")
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders")
+def source_loaded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of a table that was loaded from its CSV, overwritten by another load."""
+    name = f"main.loaded_{scratch(spark, 'x').rsplit('-', 1)[1]}"
+    path = scratch(spark, "orders-load")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    for part in (rows.where("o_orderkey % 2 = 0"), rows):
+        files.write_csv(part, path)
+        tables.load_tables(spark, {name: path})
+    return spark.table(name).select(F.col("o_orderkey").cast("long"), F.col("o_custkey").cast("long"), "o_orderstatus", "o_orderpriority")
+
+
+@query(
+    f"""SELECT * REPLACE (CAST(bws_cat AS BIGINT) AS bws_cat, CAST(pfaf_id AS BIGINT) AS pfaf_id, nullif(bws_label, 'N/A') AS bws_label)
+    FROM ({ORACLES["clean_baseline_annual"]})"""
+)
+def source_published_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Water tables published, published anew, and a third version that fails midway: the second is what is read."""
+    root = scratch(spark, "published")
+    raw = []
+    for name in ("baseline", "monthly", "future"):
+        raw.append(f"{root}/csv/{name}")
+        files.write_csv(fixture(spark, sf_dir, name), raw[-1])
+    cleaned = publish.water_tables(spark, *raw)
+    names = list(cleaned)
+    publish.publish(spark, f"{root}/store", {n: df.limit(0) for n, df in cleaned.items()})
+    publish.publish(spark, f"{root}/store", cleaned)
+    try:
+        broken = cleaned[names[1]].select(F.raise_error("midway").cast("string").alias("x"))
+        publish.publish(spark, f"{root}/store", {names[0]: cleaned[names[0]].limit(1), names[1]: broken})
+    except Exception as error:
+        if "midway" not in str(error):
+            raise
+    return publish.read_published(spark, f"{root}/store")[names[0]]
