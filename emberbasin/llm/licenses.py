@@ -4,11 +4,11 @@ A document is read as one row of words: line breaks, comment marks at the start
 so a notice may be wrapped over any number of lines. Each word stem of license notices makes a block of the words around it, twice
 the longest template to either side; blocks that overlap are one, so a notice with a stem lies in one block whole.
 
-In a block, each template is aligned with the words in order, and each place where at most ``MOST_WRONG`` of the template's words are missing
-or strange is a candidate; the differences are listed. A license name that differs (a version number, say) is a difference in
-a word the template marks as its own, and is never forgiven. The text of candidates that overlap is compressed alone and with each template as
-a raw zstandard dictionary; templates are ranked by how much smaller it gets, and the best takes the words. The ranking decides between candidates
-alone: what the rest of the block holds besides is aligned again, until no candidate is left.
+A block is compressed alone and with each template as a raw zstandard dictionary, and templates are ranked by how much smaller it gets.
+In that order they are aligned with the block's words: a place where at most ``MOST_WRONG`` of the template's words are missing or strange is
+confirmed, its differences are listed, and its words are taken. A license name that differs (a version number, say) is a difference in
+a word the template marks as its own, and is never forgiven. The ranking decides who takes words that several fit, and drops none: what
+is left of the block between the notices is ranked and aligned again, until nothing is confirmed.
 
 Null and empty texts have no blocks. A row names the lines and the place of the notice itself. Repeated rows are scanned
 each. Equal texts are compressed once a task.
@@ -48,6 +48,37 @@ TEMPLATES = {
         ["redistribution", "binary", "forms"],
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     ),
+    "GPL-3.0-or-later-text": (
+        ["gnu", "general", "3", "later"],
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    "GPL-2.0-or-later-text": (
+        ["gnu", "general", "2", "later"],
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ),
+    "LGPL-2.1-or-later-text": (
+        ["gnu", "lesser", "2.1", "later"],
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ),
+    "MPL-2.0-text": (
+        ["mozilla", "2.0"],
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+        "You can obtain one at",
+    ),
+    "ISC-text": (
+        ["purpose", "fee", "granted"],
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
+        "copyright notice and this permission notice appear in all copies.",
+    ),
+    "Unlicense": (["unencumbered", "domain"], "This is free and unencumbered software released into the public domain."),
+    "CC-BY-SA-4.0": (["cc", "by-sa", "4.0"], "Licensed under CC BY-SA 4.0."),
+    "SPDX-MIT": (["spdx-license-identifier", "mit"], "SPDX-License-Identifier: MIT"),
+    "SPDX-Apache-2.0": (["spdx-license-identifier", "apache-2.0"], "SPDX-License-Identifier: Apache-2.0"),
+    "SPDX-BSD-3-Clause": (["spdx-license-identifier", "bsd-3-clause"], "SPDX-License-Identifier: BSD-3-Clause"),
+    "SPDX-GPL-3.0-or-later": (["spdx-license-identifier", "gpl-3.0-or-later"], "SPDX-License-Identifier: GPL-3.0-or-later"),
 }
 STEMS = r"(?i)licen[cs]|copyright|permission|redistribut|public\W+domain|all\W+rights\W+reserved|\bcc\W{1,3}by|\bgpl\b"
 #: Comment words that stand at the start of lines.
@@ -226,18 +257,14 @@ class Scanner:
             low, high = parts.pop()
             block = words.bare[low:high]
             kinds = set(block)
-            found = sorted((p for t in self.templates.values() if t.possible(kinds) for p in t.places(block)), key=lambda p: (p.first, p.last))
-            group: list[Place] = []
+            possible = [t for t in self.templates.values() if t.possible(kinds)]
+            if not possible:
+                continue
+            # The block is compressed with each template; in the order of their reductions templates take the words they are confirmed on.
+            ranks = self.reductions(self.text_of(words, low, high))
             taken: list[Place] = []
-            end = 0
-            for one in found:
-                if group and one.first >= end:
-                    taken += self.best(words, low, group)
-                    group, end = [], 0
-                end = max(end, one.last)
-                group.append(one)
-            if group:
-                taken += self.best(words, low, group)
+            for t in sorted(possible, key=lambda t: ranks[t.name][0]):
+                taken += [p for p in t.places(block) if not any(p.first < x.last and x.first < p.last for x in taken)]
             for p in taken:
                 yield self.row(words, low, p)
             # The words between those taken may hold what was aligned with some of them.
@@ -248,15 +275,6 @@ class Scanner:
     def text_of(self, words: Words, first: int, last: int) -> str:
         return " ".join(words.raw[first:last])
 
-    def best(self, words: Words, low: int, group: list[Place]) -> list[Place]:
-        """Of places that overlap, the best ranked, and in turn the next that is apart from those."""
-        ranks = self.reductions(self.text_of(words, low + min(p.first for p in group), low + max(p.last for p in group)))
-        taken: list[Place] = []
-        for p in sorted(group, key=lambda p: (-ranks[p.name][1], p.missing + p.strange, p.name, p.first)):
-            if not any(p.first < t.last and t.first < p.last for t in taken):
-                taken.append(p)
-        return taken
-
     def row(self, words: Words, low: int, p: Place) -> tuple:
         """The reduction and rank are those in the notice's own text."""
         a, b = low + p.first, low + p.last

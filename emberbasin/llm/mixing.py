@@ -32,7 +32,7 @@ BUCKET_ROWS = 20_000
 SALTS = 64
 #: Parts of a word that sums of rates are counted in.
 UNIT = 1 << 20
-ROUNDS = 60
+ROUNDS = 200
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, repeat: int = REPEAT) -> DataFrame:
@@ -123,8 +123,8 @@ def balance(counts: DataFrame, goals: DataFrame, repeat: int = REPEAT) -> DataFr
         )
         state = stored(fresh)
         if state.filter("NOT done").isEmpty():
-            break
-    return state.select("source", "tilt")
+            return state.select("source", "tilt")
+    raise RuntimeError(f"no end after {ROUNDS} rounds")
 
 
 def rounded_copies(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -151,7 +151,8 @@ def rounded_copies(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def mix(rows: DataFrame, keys: Sequence[str], weights: Sequence[float] = WEIGHTS, repeat: int = REPEAT) -> DataFrame:
-    """Adds source_size, target, rate and copies to rows that have source, size and the whole-number ``keys`` that tell them apart."""
+    """source, size and the whole-number ``keys`` that tell rows apart, with source_size, target, rate and copies; join what else rows have by the keys."""
+    rows = rows.select("source", "size", *keys)
     goals = stored(targets(rows, weights, repeat))
     counts = rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     tilts = balance(counts, goals, repeat)

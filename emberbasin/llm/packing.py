@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberbasin.llm.common import slices, stored
+from emberbasin.llm.common import fresh_names, own_columns, slices, stored
 
 CAPACITY = 2048
 #: Rows that share a length are ranked in buckets of about this many.
@@ -257,7 +257,8 @@ def slot_table(plan: list[tuple[list[int], int]], capacity: int) -> dict[int, np
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to pieces that have a ``length`` of 1 to ``capacity``.
+    """Adds ``sequence_id`` and ``offset`` to pieces that have a ``length`` of 1 to ``capacity``; other columns come back as they are, and
+    where one has such a name the new one has underscores in front.
 
     Empty input gives no rows. Equal rows each get a place of their own. ``pieces`` has to be
     repeatable (a written table), as it is read once for the histogram and once for the ranks.
@@ -269,20 +270,20 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     plan = plan_sequences({r["length"]: r["count"] for r in lengths}, capacity)
     slots = slot_table(plan, capacity)
     names = pieces.columns
+    (sequence_id, offset_, n, bucket, row, first, rank_) = fresh_names(pieces, "sequence_id", "offset", "_buckets", "_bucket", "_row", "_before", "_rank")
     # A length has buckets as its rows need them; a row a length, so at most ``capacity`` rows are broadcast.
-    buckets = spark.createDataFrame([(r["length"], -(-r["count"] // BUCKET_ROWS)) for r in lengths], "length long, _buckets long")
-    dealt = pieces.join(F.broadcast(buckets), "length").withColumn("_bucket", F.pmod(F.xxhash64(*names), F.col("_buckets")))
+    buckets = spark.createDataFrame([(r["length"], -(-r["count"] // BUCKET_ROWS)) for r in lengths], f"length long, `{n}` long")
+    own = own_columns(pieces)
+    dealt = pieces.join(F.broadcast(buckets), "length").select(*own, F.pmod(F.xxhash64(*own), F.col(n)).alias(bucket))
     # The rows before a bucket among those of its length, by two narrow sums.
-    sums = dealt.groupBy("length", "_bucket").count()
-    before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(
-        "length", "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before")
-    )
-    within = Window.partitionBy("length", "_bucket").orderBy(*names)
+    sums = dealt.groupBy("length", bucket).agg(F.count(F.lit(1)).alias(row))
+    before = Window.partitionBy("length").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("length", bucket, F.coalesce(F.sum(row).over(before), F.lit(0)).alias(first))
+    within = Window.partitionBy("length", bucket).orderBy(*own)
     ranked = (
-        dealt.withColumn("_row", F.row_number().over(within))
-        .join(sums, ["length", "_bucket"])
-        .select(*names, (F.col("_before") + F.col("_row") - 1).alias("_rank"))
+        dealt.withColumn(row, F.row_number().over(within))
+        .join(sums, ["length", bucket])
+        .select(*own, (F.col(first) + F.col(row) - 1).alias(rank_))
     )
     table = spark.sparkContext.broadcast(slots)  # its size follows the capacity, not the corpus
 
@@ -290,7 +291,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         at = table.value
         for batch in batches:
             length = batch.column(batch.schema.get_field_index("length")).to_numpy(zero_copy_only=False)
-            rank = batch.column(batch.schema.get_field_index("_rank")).to_numpy(zero_copy_only=False)
+            rank = batch.column(batch.schema.get_field_index(rank_)).to_numpy(zero_copy_only=False)
             sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
             for value in np.unique(length):
                 rows = np.flatnonzero(length == value)
@@ -298,11 +299,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 run = runs[np.searchsorted(runs[:, 0], rank[rows], "right") - 1]
                 sequence[rows] = run[:, 1] + rank[rows] - run[:, 0]
                 offset[rows] = run[:, 2]
-            kept = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "_rank"]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
+            kept = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != rank_]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], [*names, sequence_id, offset_])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    tick = "`"
+    schema = ", ".join(f"`{f.name.replace(tick, 2 * tick)}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
+    return ranked.mapInArrow(place, f"{schema}, `{sequence_id}` long, `{offset_}` long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:

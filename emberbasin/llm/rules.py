@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberbasin.llm.common import WHITE, trimmed, word_array
+from emberbasin.llm.common import WHITE, fresh_names, own_columns, trimmed, word_array
 
 SYMBOLS = "#*$%&|<>"
 
@@ -87,19 +87,20 @@ def repeated_window_words(words: Column, size: int = 3) -> Column:
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the measurements, each a long, taken from the whole text."""
+    """Adds the measurements, each a long, taken from the whole text; columns of docs that have their names, in any case, give way to them."""
     body = F.coalesce(F.col(text), F.lit(""))
-    kept = [c for c in docs.columns if c not in {*MEASURES, "failed"}]
+    kept = [c for n, c in zip(docs.columns, own_columns(docs)) if n.lower() not in {*MEASURES, "failed"}]
+    (words, line) = fresh_names(docs, "_words", "_lines")
     lines = F.filter(F.split(body, F.lit("\n")), lambda line: trimmed(line) != "")
-    staged = docs.select(*kept, word_array(F.col(text)).alias("_words"), lines.alias("_lines"))
+    staged = docs.select(*kept, word_array(F.col(text)).alias(words), lines.alias(line))
     return staged.select(
         *kept,
-        F.size("_words").cast("long").alias("n_words"),
+        F.size(words).cast("long").alias("n_words"),
         (F.length(body) - without(body, WHITE)).cast("long").alias("word_chars"),
         without(body, SYMBOLS).alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        repeated_window_words(F.col("_words")).alias("n_repeat_words"),
-        F.size("_lines").cast("long").alias("n_lines"),
+        (F.size(line) - F.size(F.array_distinct(line))).cast("long").alias("n_dup_lines"),
+        repeated_window_words(F.col(words)).alias("n_repeat_words"),
+        F.size(line).cast("long").alias("n_lines"),
         without(body, "!").alias("n_bangs"),
         F.length(F.regexp_replace(body, r"[^\p{L}]+", "")).cast("long").alias("n_letters"),
     )

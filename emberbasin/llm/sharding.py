@@ -18,7 +18,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberbasin.llm.common import stored
+from emberbasin.llm.common import fresh_names, stored
 
 #: Ranges that a node is summed in at a time.
 RANGES = 512
@@ -69,17 +69,24 @@ def coordinate(column: Column, kind: str) -> Column:
 
 
 def kd_shards(rows: DataFrame, weight: str, dimensions: Sequence[str], shards: int, tie: Sequence[str]) -> DataFrame:
-    """Adds ``shard`` (0 to ``shards`` - 1).
+    """Adds ``shard`` (0 to ``shards`` - 1); columns of rows that are named so, or like the work columns ``_tie`` and ``_node``, come back as they are,
+    and then the shard has underscores in front.
 
     ``dimensions`` are whole-number columns without nulls; ``tie`` are columns that tell rows of equal value apart.
     """
+    (out,) = fresh_names(rows, "shard")
+    clash = {n: f for n, f in zip(rows.columns, fresh_names(rows, *[f"_kept{i}" for i in range(len(rows.columns))])) if n.lower() in ("_tie", "_node")}
+    if clash:
+        moved = rows.withColumnsRenamed(clash)
+        found = kd_shards(moved, clash.get(weight, weight), [clash.get(c, c) for c in dimensions], shards, [clash.get(c, c) for c in tie])
+        return found.withColumnsRenamed({f: n for n, f in clash.items()})
     names = rows.columns
     # Ties: a hash, so that equal values are cut evenly, then nothing more: rows with one hash are equal rows.
     work = rows.withColumn("_tie", F.xxhash64(*tie)).withColumn("_node", F.lit(0))
     columns = [*dimensions]
     spread = work.agg(*[f(c) for c in columns for f in (F.min, F.max)]).first()
     if spread[0] is None:
-        return rows.withColumn("shard", F.lit(0))
+        return rows.withColumn(out, F.lit(0))
     overall = {c: max(1, spread[2 * i + 1] - spread[2 * i]) for i, c in enumerate(columns)}
     leaves: dict[int, tuple[int, int]] = {}  # a node's first shard and how many it becomes
     open_nodes = {0: (0, shards)}
@@ -119,7 +126,7 @@ def kd_shards(rows: DataFrame, weight: str, dimensions: Sequence[str], shards: i
     shard = F.lit(0)
     for n, (first, _) in leaves.items():
         shard = F.when(node == n, first).otherwise(shard)
-    return work.select(*names, shard.cast("int").alias("shard"))
+    return work.select(*names, shard.cast("int").alias(out))
 
 
 def _cuts(here: DataFrame, weight: str, chosen: dict, goals: dict) -> dict[int, tuple[int, int]]:

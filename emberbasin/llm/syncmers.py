@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberbasin.llm.common import fresh_names, own_columns
+
 K = 12
 S = 3
 PIECE = r"\S{1,4}"
@@ -24,16 +26,18 @@ RANGE_ROWS = 256
 
 def with_anchors(rows: DataFrame, text: str, out: str = "anchors", k: int = K, s: int = S, places: str | None = None) -> DataFrame:
     """Adds ``out``, the array of anchors in their order, and under the name ``places``, if given, the piece each starts at."""
-    names = [c for c in rows.columns if c not in (out, places)]
+    made = {x.lower() for x in (out, places) if x}
+    names = [c for n, c in zip(rows.columns, own_columns(rows)) if n.lower() not in made]
+    (p, n, h, at_) = fresh_names(rows, "_p", "_n", "_h", "_at")
     pieces = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(PIECE), F.lit(0))
-    cut = rows.select(*names, pieces.alias("_p"))
+    cut = rows.select(*names, pieces.alias(p))
     smers = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size("_p") - s, F.lit(0))),
-        lambda i: F.xxhash64(*[F.get("_p", i + j) for j in range(s)]),
+        F.sequence(F.lit(0), F.greatest(F.size(p) - s, F.lit(0))),
+        lambda i: F.xxhash64(*[F.get(p, i + j) for j in range(s)]),
     )
-    hashed = cut.select(*names, F.size("_p").alias("_n"), F.when(F.size("_p") < k, F.array(F.xxhash64("_p"))).otherwise(smers).alias("_h"))
+    hashed = cut.select(*names, F.size(p).alias(n), F.when(F.size(p) < k, F.array(F.xxhash64(p))).otherwise(smers).alias(h))
     last = k - s  # the place of a k-mer's last s-mer
-    at = lambda i, j: F.get("_h", i + j if j else i)
+    at = lambda i, j: F.get(h, i + j if j else i)
 
     def closed(i: Column) -> Column:
         first, end = F.lit(True), F.lit(True)
@@ -47,14 +51,14 @@ def with_anchors(rows: DataFrame, text: str, out: str = "anchors", k: int = K, s
         steps = sorted({*range(0, last, s), last})  # s-mers that cover the k-mer
         return F.xxhash64(*[at(i, j) for j in steps])
 
-    kept = F.filter(F.sequence(F.lit(0), F.col("_n") - k), closed)
+    kept = F.filter(F.sequence(F.lit(0), F.col(n) - k), closed)
     none = F.array().cast("array<int>")
     starts = hashed.select(
-        *names, "_n", "_h", F.when(F.col("_n") == 0, none).when(F.col("_n") < k, F.array(F.lit(0))).otherwise(kept).alias("_at")
+        *names, n, h, F.when(F.col(n) == 0, none).when(F.col(n) < k, F.array(F.lit(0))).otherwise(kept).alias(at_)
     )
-    value = F.when(F.col("_n") < k, F.get("_h", F.lit(0)))
-    found = F.when(F.col("_n") < k, F.transform("_at", lambda i: value)).otherwise(F.transform("_at", anchor))
-    return starts.select(*names, found.alias(out), *([F.col("_at").alias(places)] if places else []))
+    value = F.when(F.col(n) < k, F.get(h, F.lit(0)))
+    found = F.when(F.col(n) < k, F.transform(at_, lambda i: value)).otherwise(F.transform(at_, anchor))
+    return starts.select(*names, found.alias(out), *([F.col(at_).alias(places)] if places else []))
 
 
 def digest(anchors: Column) -> Column:

@@ -619,3 +619,49 @@ def test_ids_after_marks_and_of_other_files():
     for ids in (words, packing.WordIds(public_tokenizers.path("byte_bpe_50k.json"))):
         wrong = [t for t, found in zip(texts, ids.of(texts)) if found != ids.encoded(t)]
         assert not wrong, wrong[:3]
+
+
+def test_usual_notices_are_found(documents):
+    """Notices as projects write them, none of them equal to a template."""
+    notices = {
+        "GPL-3.0-or-later-text": "/* This file is part of Foo.\n * Foo is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n"
+        " * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n */",
+        "GPL-2.0-or-later-text": "# This program is free software; you can redistribute it and/or\n# modify it under the terms of the GNU General Public License\n# as published by the Free Software Foundation; either version 2\n"
+        "# of the License, or (at your option) any later version.",
+        "LGPL-2.1-or-later-text": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; "
+        "either version 2.1 of the License, or (at your option) any later version.",
+        "MPL-2.0-text": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */",
+        "ISC-text": "Permission to use, copy, modify, and distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+        "SPDX-MIT": "// SPDX-License-Identifier: MIT\nint main() {}",
+        "Unlicense": "This is free and unencumbered software released into the public domain.\nAnyone is free to copy it.",
+        "Apache-2.0-text": ' * Licensed under the Apache License, Version 2.0 (the "License");\n * you may not use this file except in compliance with the License.\n * You may obtain a copy',
+    }
+    got = licenses.scan_licenses(documents([(i, f"some words first\n{t}\nand more after", "a") for i, t in enumerate(notices.values())])).collect()
+    assert {(g.doc_id, g.license) for g in got} == set(enumerate(notices))
+
+
+WORK_NAMES = ["_words", "_Lines", "N_WORDS", "Failed", "_p", "_H", "_n", "_at", "_tie", "_Node", "_rank", "_Before", "_buckets", "_Bucket", "_row", "sequence_id", "Offset", "shard"]
+
+
+def test_columns_of_the_caller_come_back(spark):
+    extra = ", ".join(f"`{n}` long" for n in WORK_NAMES)
+    values = [777 + i for i in range(len(WORK_NAMES))]
+    docs = spark.createDataFrame([(i, f"some text of document {i}", 100 + i, *values) for i in range(40)], f"doc_id long, text string, length long, {extra}")
+
+    def same(found, less=()):
+        rows = found.collect()
+        names = [n for n in WORK_NAMES if n.lower() not in less]
+        at = {n: found.columns.index(n) for n in names}
+        assert len(rows) == 40 and all(r[at[n]] == v for r in rows for n, v in zip(WORK_NAMES, values) if n in at)
+        return rows
+
+    # The ledger's own names replace those of the caller, as its text says.
+    rows = same(rules.ledger(docs), ("n_words", "failed"))
+    assert {r.n_words for r in rows} == {5}
+    assert all(len(r.anchors) and len(r.anchors) == len(r.places) for r in same(syncmers.with_anchors(docs, "text", "anchors", places="places")))
+    found = sharding.kd_shards(docs, "length", ["doc_id"], 4, ["doc_id"])
+    assert {r["_shard"] for r in same(found)} == {0, 1, 2, 3}
+    found = packing.pack(docs, 200)
+    assert found.columns[-2:] == ["_sequence_id", "_offset"] and {r["_offset"] for r in same(found)} <= {0, *range(100, 200)}
+    sizes = docs.select("*", F.lit("a").alias("source"), F.lit(5).cast("long").alias("size"), F.lit(1).alias("rate"), F.lit(2).alias("source_rows"), F.lit(3).alias("copies"))
+    assert {r.copies for r in mixing.mix(sizes, ["doc_id"]).collect()} == {1}
