@@ -28,14 +28,20 @@ def _row_bytes(df: DataFrame) -> Column:
     return size
 
 
+def size_columns(df: DataFrame) -> list[Column]:
+    """Rows and rough bytes, as aggregates."""
+    return [F.count(F.lit(1)), F.coalesce(F.sum(_row_bytes(df)), F.lit(0))]
+
+
 def fits_broadcast(
-    df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+    df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES, measured: tuple[int, int] | None = None
 ) -> bool:
     """Whether the rows are few and small enough to copy to every executor.
 
-    Measured, not estimated: one aggregation that shuffles a row per input task.
+    Measured, not estimated: one aggregation that shuffles a row per input task, unless
+    the caller has ``measured`` the rows and bytes along with something else.
     """
-    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(_row_bytes(df)), F.lit(0))).first()
+    rows, size = measured or df.agg(*size_columns(df)).first()
     return rows <= max_rows and size <= max_bytes
 
 
