@@ -126,7 +126,7 @@ def test_op10(spark, docs):
 
 
 def test_sql_is_given_where_it_can_be():
-    assert set(ORACLES) == {"op2_quality_rules", "op9_warc_segments", "op11_importance_resampling", "op13_fill_in_middle"}
+    assert set(ORACLES) == {"op2_quality_rules", "op5_ngram_jaccard_join", "op9_warc_segments", "op11_importance_resampling", "op13_fill_in_middle"}
 
 
 def test_pipeline(spark):
