@@ -7,11 +7,12 @@ import random
 from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from emberbasin.schemas import FIRES
 from emberbasin.sources.pages import FeedPages, landed
 from emberbasin.streaming.rolling import sliding_emissions
-from emberbasin.streaming.sightings import PROVIDER, ROCKS, sightings
+from emberbasin.streaming.sightings import PROVIDER, ROCKS, Sightings, sightings
 from pyspark.sql import functions as F
 
 
@@ -175,3 +176,34 @@ def test_state_ends_with_its_time(spark, tmp_path):
     finally:
         spark.conf.set(PROVIDER, before)
     assert [r.kind for r in spark.read.schema(rows.schema).parquet(out).collect()] == ["first", "first"]
+
+
+class HeldMap(dict):
+    """A map state of the keyed store, kept in a dictionary."""
+
+    def getValue(self, key):
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+
+def test_a_call_takes_many_uids_and_orders_pulls_over_frames():
+    r = random.Random(4)
+    pulls = [(r.choice(["a", "b", "c", None, "d"]), r.choice([1.0, 2.0, 3.5, 7.0, float("nan")])) for _ in range(200)]
+    state, found = Sightings(1), []
+    state.seen = HeldMap()
+    for batch in (pulls[:120], pulls[120:]):
+        frames = (pd.DataFrame(batch[i : i + 9], columns=["uid", "hours_old"]) for i in range(0, len(batch), 9))
+        for out in state.handleInputRows((0,), frames, None):
+            found += [tuple(None if x != x else x for x in row) for row in out.itertuples(index=False)]
+    want, held = [], {}
+    for batch in (pulls[:120], pulls[120:]):
+        for uid, age in sorted(batch, key=lambda p: (p[1] != p[1], 0 if p[1] != p[1] else p[1])):
+            n, first, last = held.get(uid, (0, None, None))
+            if age == age:
+                first, last = age if first is None else min(first, age), age if last is None else max(last, age)
+            held[uid] = n + 1, first, last
+            want.append((uid, "update" if n else "first", n + 1, age if age == age else None, first, last))
+    assert Counter(found) == Counter(want)
+    assert state.seen == {(uid,): row for uid, row in held.items()}
