@@ -15,7 +15,7 @@ from emberbasin.registry.base import ORACLES, query, scratch
 from emberbasin.registry.cleaning import BASELINE_VALUES, CLEAN_FEED, marked
 from emberbasin.schemas import FEED, FIRES, REGION_TABLE, WATER_TABLES
 from emberbasin.sources import files, publish, tables
-from emberbasin.sources.pages import FeedPages
+from emberbasin.sources.pages import PAGE_SIZE, FeedPages
 from emberbasin.streaming.ingest import once_per_key, start_ingest, stream_feed_pages
 from emberbasin.streaming.sightings import PROVIDER, ROCKS, sightings
 
@@ -53,9 +53,9 @@ def source_continents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _land_pages(feed: DataFrame, path: str) -> None:
-    """The feed as JSON pages of up to 100 features, one page a file."""
+    """The feed as JSON pages of up to the features that a pull asks for at a time, one page a file."""
     row = F.struct(F.struct(*[F.col(c) for c in feed.columns]).alias("attributes"))
-    number = F.pmod(F.xxhash64(*feed.columns), F.lit(1 + feed.count() // 50))
+    number = F.pmod(F.xxhash64(*feed.columns), F.lit(1 + feed.count() // (PAGE_SIZE // 2)))
     pages = feed.groupBy(number.alias("page")).agg(F.collect_list(row).alias("features"))
     pages.select("features").write.option("maxRecordsPerFile", 1).json(path)
 
