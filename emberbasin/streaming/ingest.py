@@ -15,17 +15,24 @@ from emberbasin.sources.tables import append_detections
 
 TIME = "acquisition_timestamp"
 LATENESS = "2 days"
+#: About a thousand pages of the feed's own size.
+BATCH_BYTES = 4 << 30
 
 
-def stream_feed_pages(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    """Feed rows of the pages that land in a folder."""
-    pages = (
-        spark.readStream.schema(FEED_PAGE)
-        .option("multiLine", True)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .json(folder)
-    )
-    return explode_pages(pages)
+def stream_feed_pages(
+    spark: SparkSession, folder: str, files_per_batch: int | None = None, bytes_per_batch: int = BATCH_BYTES
+) -> DataFrame:
+    """Feed rows of the pages that land in a folder.
+
+    A batch is bounded by the bytes of its pages, as each batch looks at the stored keys: by a number of
+    files, many small pages would make many batches. ``files_per_batch`` bounds it by files instead.
+    """
+    pages = spark.readStream.schema(FEED_PAGE).option("multiLine", True)
+    if files_per_batch is None:
+        pages = pages.option("maxBytesPerTrigger", bytes_per_batch)
+    else:
+        pages = pages.option("maxFilesPerTrigger", files_per_batch)
+    return explode_pages(pages.json(folder))
 
 
 def once_per_key(detections: DataFrame, lateness: str = LATENESS) -> DataFrame:

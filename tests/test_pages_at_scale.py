@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 import pytest
 from emberbasin.registry import sources as registered
 from emberbasin.schemas import FEED
 from emberbasin.sources import files
+from emberbasin.streaming import ingest
 from pyspark.sql import functions as F
 
 
@@ -23,3 +26,16 @@ def test_landed_pages_are_as_large_as_those_of_a_pull(spark, feed, tmp_path):
     assert len(list((tmp_path / "pages").glob("*.json"))) <= 3
     found = files.read_feed_pages(spark, str(tmp_path / "pages"))
     assert found.agg(F.count("OBJECTID"), F.sum("OBJECTID")).first() == (20_000, 199_990_000)
+
+
+def test_small_pages_make_no_more_batches(spark, tmp_path, monkeypatch):
+    batches = []
+    monkeypatch.setattr(ingest, "append_detections", lambda batch, table: batches.append(batch.count()))
+    (tmp_path / "in").mkdir()
+    row = {f.name: None for f in FEED.fields} | {"latitude": 1.0, "longitude": 2.0, "confidence": "high", "acq_time": "1704879000000"}
+    for i in range(1_100):
+        (tmp_path / "in" / f"{i}.json").write_text(json.dumps({"features": [{"attributes": row | {"OBJECTID": i}}]}))
+    for per_batch in (None, 600):
+        pages = ingest.stream_feed_pages(spark, str(tmp_path / "in"), per_batch)
+        ingest.start_ingest(pages, "main.none", str(tmp_path / f"check{per_batch}"), available_now=True).awaitTermination()
+    assert len(batches) == 3 and batches[0] == sum(batches[1:]) > 0
