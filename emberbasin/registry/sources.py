@@ -15,7 +15,7 @@ from emberbasin.registry.base import ORACLES, query, scratch
 from emberbasin.registry.cleaning import BASELINE_VALUES, CLEAN_FEED, marked
 from emberbasin.schemas import FEED, FIRES, REGION_TABLE, WATER_TABLES
 from emberbasin.sources import files, publish, tables
-from emberbasin.sources.pages import PAGE_SIZE, FeedPages
+from emberbasin.sources.pages import PAGE_SIZE, FeedPages, land
 from emberbasin.streaming.ingest import once_per_key, start_ingest, stream_feed_pages
 from emberbasin.streaming.sightings import PROVIDER, ROCKS, sightings
 
@@ -70,13 +70,17 @@ def source_feed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAGE = 250
 
 
+RANGE_ROWS = 50_000
+
+
 def _land_offsets(feed: DataFrame, path: str, size: int) -> None:
-    """The feed as full JSON pages and a last short one, each in a folder of its offset.
+    """The feed as full JSON pages and a last short one, each in a file of its offset.
 
     Rows are numbered by ranges: a count a range, and numbers within it.
     """
     order = ["OBJECTID", F.xxhash64(*feed.columns)]
-    dealt = feed.repartitionByRange(8, *order).select("*", F.spark_partition_id().alias("_range"))
+    ranges = max(8, feed.count() // RANGE_ROWS)
+    dealt = feed.repartitionByRange(ranges, *order).select("*", F.spark_partition_id().alias("_range"))
     dealt = cut_lineage(dealt)
     sums = dealt.groupBy("_range").count()
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -86,7 +90,7 @@ def _land_offsets(feed: DataFrame, path: str, size: int) -> None:
     numbered = dealt.join(F.broadcast(sums), "_range").select(place.alias("_place"), row.alias("_row"))
     numbered = numbered.select((F.floor(F.col("_place") / size) * size).alias("offset"), "_row")
     texts = numbered.groupBy("offset").agg(F.to_json(F.struct(F.collect_list("_row").alias("features"))).alias("value"))
-    texts.write.partitionBy("offset").text(path)
+    land(texts, path)
 
 
 def _new_table(spark: SparkSession, name: str) -> str:
