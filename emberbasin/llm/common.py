@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -95,6 +96,18 @@ def text_key(text: Column) -> list[Column]:
 # -- inside tasks ------------------------------------------------------------------------
 
 
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function for mapInArrow. Workers outlive tasks, so what a task no longer uses goes back to the machine at its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return run
+
+
 def mixed64(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
     x = x ^ (x >> np.uint64(32))

@@ -20,18 +20,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberbasin.llm.common import fresh_names, own_columns, slices, stored
+from emberbasin.llm.common import fresh_names, own_columns, several, slices, stored, tidy
 
 CAPACITY = 2048
 #: Rows that share a length are ranked in buckets of about this many.
 BUCKET_ROWS = 2_000
-#: A worker that remembers more words than this forgets them all.
-CACHE_WORDS = 1_000_000
+#: A worker that remembers more strings than this, some 60 MB, forgets those that the texts at hand don't have.
+CACHE_WORDS = 300_000
 #: Bytes of text encoded at a time.
-SLICE = 2_000_000
+SLICE = 4_000_000
 END = 0
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -50,7 +51,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class WordIds(dict):
-    """Ids of the parts of texts as little-endian bytes, each part encoded once.
+    """Ids of strings between white space, and of their parts, as little-endian bytes, each part encoded once while it is remembered.
 
     The vocabulary's pre-tokenizer drops white space and parts words, digits and signs, and no token spans two parts, so a text's ids are those of
     its parts end to end. New words are encoded together, with spaces between: each ends at the one token with the word-end mark.
@@ -61,7 +62,7 @@ class WordIds(dict):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
@@ -75,6 +76,10 @@ class WordIds(dict):
         known &= [x.get("type") for x in before] == ["Split", "ByteLevel"] and before[0]["pattern"] == {"Regex": PATTERN} and before[0]["invert"]
         known &= spec["model"].get("type") == "BPE" and spec["model"].get("end_of_word_suffix") == "</w>" and not before[-1].get("use_regex")
         self.known = bool(known and not spec["model"].get("ignore_merges"))
+        self.steps = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        # Words of letters in lower case come out of the normalizer as they went in, and white space is where they part.
+        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.short_steps = normalizers.Sequence([]), pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), byte_level])
         ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, dtype=bool)
         ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.ends = ends
@@ -88,7 +93,10 @@ class WordIds(dict):
             self[part] = self.encoded(part)
         # Without offsets, which nobody asks for here.
         batches = [words[at : at + 2000] for at in range(0, len(words), 2000)]
-        for some, found in zip(batches, self.tokenizer.encode_batch_fast([" ".join(x) for x in batches], add_special_tokens=False)):
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.short_steps
+        encoded = self.tokenizer.encode_batch_fast([" ".join(x) for x in batches], add_special_tokens=False)
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.steps
+        for some, found in zip(batches, encoded):
             ids = np.array(found.ids, dtype="<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             data = ids.tobytes()
@@ -98,14 +106,33 @@ class WordIds(dict):
     def of(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
         plain = [self.known and PLAIN.fullmatch(t) is not None and not any(x in t for x in self.special) for t in texts]
-        split = [PART.findall(t.lower()) if ok else None for t, ok in zip(texts, plain)]
-        new = set().union(*filter(None, split)).difference(self)
-        if len(self) + len(new) > CACHE_WORDS:
-            self.clear()
-            new = set().union(*filter(None, split))
-        self.learn(new)
-        get = self.__getitem__
-        return [self.encoded(t) if parts is None else b"".join(map(get, parts)) for t, parts in zip(texts, split)]
+        found = iter(self.of_plain([t.lower() for t, ok in zip(texts, plain) if ok]))
+        return [next(found) if ok else self.encoded(t) for t, ok in zip(texts, plain)]
+
+    def of_plain(self, texts: list[str]) -> Iterator[bytes]:
+        """No part spans white space, so each distinct string between white space is looked up once, and the ids are gathered by number."""
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        strings = split.flatten().dictionary_encode()
+        distinct = strings.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.get, distinct))
+        unknown = [i for i, x in enumerate(ids) if x is None]
+        if unknown:
+            parts = [[x] if (x := distinct[i]).isalpha() else PART.findall(x) for i in unknown]
+            wanted = set().union(*parts)
+            found = {x: self[x] for x in wanted if x in self}
+            if len(self) + 2 * len(unknown) > CACHE_WORDS:  # what these texts hold stays, so frequent words do
+                kept = {x: y for x, y in zip(distinct, ids) if y is not None} | found
+                self.clear()
+                self.update(kept)
+            self.learn(wanted.difference(found))
+            for i, some in zip(unknown, parts):
+                ids[i] = self[distinct[i]] = b"".join(map(self.__getitem__, some))
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        number = strings.indices.to_numpy()
+        counts = lengths[number]
+        flat = np.frombuffer(b"".join(ids), dtype="<u4")[several((np.cumsum(lengths) - lengths)[number], counts)]
+        ends = np.concatenate([[0], np.cumsum(counts)])[split.offsets.to_numpy()].tolist()
+        return (flat[a:b].tobytes() for a, b in zip(ends, ends[1:]))
 
 
 def word_ids(path: str) -> WordIds:
@@ -138,7 +165,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> Dat
             columns = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(cut), PIECES)
 
 
 # -- the plan ----------------------------------------------------------------------------

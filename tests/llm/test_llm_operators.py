@@ -621,6 +621,21 @@ def test_ids_after_marks_and_of_other_files():
         assert not wrong, wrong[:3]
 
 
+def test_words_remembered_are_few_and_the_frequent_ones():
+    """400,000 words in twenty calls: a worker holds fewer than it has met, and what every call has is learnt once."""
+    words, learnt, learn = packing.WordIds(TOKENS), Counter(), packing.WordIds.learn
+    words.learn = lambda parts: (learnt.update(parts), learn(words, parts))
+    letters = "abcdefghijklmnopqrst"
+    usual = [f"usual{x}" for x in letters]
+    rare = ["".join((letters[i % 20], letters[i // 20 % 20], letters[i // 400 % 20], letters[i // 8000 % 20], letters[i // 160_000])) for i in range(400_000)]
+    for at in range(0, 400_000, 20_000):
+        words.of([" ".join(usual + rare[at : at + 20_000])])
+    assert len(words) <= 320_000
+    assert all(learnt[x] == 1 for x in usual) and len(learnt) == 400_020
+    assert words.of([]) == [] and words.of(["", " \n"]) == [b"", b""]
+    assert words.of(["Usuala, USUALB's"]) == [words.encoded("Usuala, USUALB's")]
+
+
 def test_usual_notices_are_found(documents):
     """Notices as projects write them, none of them equal to a template."""
     notices = {
