@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberbasin.llm.common import discard, mixed64, several, slices, stored, written
+from emberbasin.llm.common import discard, mixed64, several, slices, stored, tidy, written
 from emberbasin.llm.graph import components
 from emberbasin.llm.shingles import WORDS, Hasher, sequence_hashes, shingle_sets
 from emberbasin.plans.joins import BROADCAST_ROWS
@@ -73,7 +73,9 @@ def scanned(docs: DataFrame, size: int = WORDS) -> DataFrame:
         names = ["doc_id", "mark", "c1", "c2", "n", "often"]
 
         def often() -> pa.RecordBatch:
-            every = np.sort(np.concatenate(held))
+            every = np.concatenate(held)
+            held.clear()
+            every.sort()
             first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
             times = np.diff(np.append(first, len(every)))
             keep = times >= OFTEN
@@ -101,7 +103,7 @@ def scanned(docs: DataFrame, size: int = WORDS) -> DataFrame:
             yield often()
 
     rows = docs.select("doc_id", "mark", "text")
-    return rows.mapInArrow(scan, "doc_id long, mark long, c1 long, c2 long, n long, often long")
+    return rows.mapInArrow(tidy(scan), "doc_id long, mark long, c1 long, c2 long, n long, often long")
 
 
 def listed(rows: DataFrame, order, percent: int, size: int) -> DataFrame:
@@ -141,7 +143,7 @@ def listed(rows: DataFrame, order, percent: int, size: int) -> DataFrame:
                 ["c1", "n", "cold", "s"],
             )
 
-    return rows.select("text").mapInArrow(work, "c1 long, n int, cold int, s array<long>")
+    return rows.select("text").mapInArrow(tidy(work), "c1 long, n int, cold int, s array<long>")
 
 
 def sent(base: DataFrame, size: int) -> DataFrame:
@@ -172,7 +174,7 @@ def sent(base: DataFrame, size: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), SENT_KINDS)], names)
 
-    return base.select("rep", "text", "copies", "visits").mapInArrow(work, "home long, part int, own boolean, rep long, copies long, s binary")
+    return base.select("rep", "text", "copies", "visits").mapInArrow(tidy(work), "home long, part int, own boolean, rep long, copies long, s binary")
 
 
 SENT_KINDS = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
@@ -324,7 +326,7 @@ def searched(rows: DataFrame, percent: int = PERCENT, links: bool = False) -> Da
 
     order = ["home", "part", F.col("own").desc(), "rep"]
     dealt = rows.repartition("home", "part").sortWithinPartitions(*order)
-    return dealt.mapInArrow(work, "node long, links long, peer long")
+    return dealt.mapInArrow(tidy(work), "node long, links long, peer long")
 
 
 def recurring(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberbasin.llm.common import discard, fresh_names, mixed64, own_columns, several, slices, stored, string_bytes, text_key, written
+from emberbasin.llm.common import discard, fresh_names, mixed64, own_columns, several, slices, stored, string_bytes, text_key, tidy, written
 from emberbasin.llm.shingles import BASES, STEP, powers
 from emberbasin.plans.joins import BROADCAST_BYTES, BROADCAST_ROWS
 
@@ -151,7 +151,7 @@ def runs(texts: DataFrame, length: int, seed: int) -> DataFrame:
                     ["h", "d", "k1", "k2", "at", "n", "tied"],
                 )
 
-    return texts.select("k1", "k2", "text").mapInArrow(work, "h long, d long, k1 long, k2 long, at long, n int, tied boolean")
+    return texts.select("k1", "k2", "text").mapInArrow(tidy(work), "h long, d long, k1 long, k2 long, at long, n int, tied boolean")
 
 
 SEGMENT = "h long, part int, parts int, k1 long, k2 long, at long, n int, alone boolean, bytes binary"
@@ -177,7 +177,7 @@ def segments(texts: DataFrame, length: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    return texts.select("text", "wanted").mapInArrow(work, SEGMENT)
+    return texts.select("text", "wanted").mapInArrow(tidy(work), SEGMENT)
 
 
 # -- suffix arrays -----------------------------------------------------------------------
@@ -321,7 +321,7 @@ def shard_repeats(rows: DataFrame, length: int) -> DataFrame:
             yield from solve(held)
 
     dealt = rows.repartition("h", "part").sortWithinPartitions("h", "part", "k1", "k2", "at")
-    return dealt.mapInArrow(work, FOUND)
+    return dealt.mapInArrow(tidy(work), FOUND)
 
 
 def merged(windows: DataFrame) -> DataFrame:
@@ -343,7 +343,7 @@ def merged(windows: DataFrame) -> DataFrame:
         out = every.take(pa.array(keep, pa.int64())).select(["k1", "k2", "low", "high"]).combine_chunks()
         yield from out.to_batches()
 
-    return windows.repartition("w1").select("k1", "k2", "low", "high", "w1", "w2").mapInArrow(work, "k1 long, k2 long, low long, high long")
+    return windows.repartition("w1").select("k1", "k2", "low", "high", "w1", "w2").mapInArrow(tidy(work), "k1 long, k2 long, low long, high long")
 
 
 # -- whole tables ------------------------------------------------------------------------
