@@ -41,10 +41,10 @@ from emberbasin.plans.joins import BROADCAST_ROWS
 
 #: Similarity in hundredths.
 PERCENT = 75
-#: Text bytes hashed at a time, and shingles counted at a time.
-SLICE = 2_000_000
+#: Text bytes hashed at a time (a worker holds some 100 bytes for each of them), and shingles counted at a time.
+SLICE = 500_000
 COUNTED = 3_000_000
-#: A shingle counts as recurring from so often within what a task counts at a time; so many are kept, the most frequent.
+#: A shingle counts as recurring from so often (two at least) within what a task counts at a time; so many are kept, the most frequent.
 OFTEN = 2
 RECURRING = 200_000
 #: Copies that a task remembers before it forgets them all.
@@ -76,8 +76,9 @@ def scanned(docs: DataFrame, size: int = WORDS) -> DataFrame:
             every = np.concatenate(held)
             held.clear()
             every.sort()
-            first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-            times = np.diff(np.append(first, len(every)))
+            same = np.concatenate([[False], every[1:] == every[:-1], [False]])  # as the one before; only runs of two or more get numbers
+            first, last = np.flatnonzero(~same[:-1] & same[1:]), np.flatnonzero(same[:-1] & ~same[1:])
+            times = last - first + 1
             keep = times >= OFTEN
             shingle, times = every[first[keep]].view(np.int64), times[keep]
             none = pa.nulls(len(times), pa.int64())

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import plain
 import public_tokenizers
 import pytest
@@ -636,6 +637,27 @@ def test_words_remembered_are_few_and_the_frequent_ones():
     assert words.of(["Usuala, USUALB's"]) == [words.encoded("Usuala, USUALB's")]
 
 
+def test_counting_shingles_holds_little_at_a_time():
+    """What the function of a task allocates for 12 MB of texts in one batch; recurring shingles have their counts."""
+    import tracemalloc
+
+    class Task:
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, work, schema: work
+
+    r = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 10**6, 400)) for _ in range(3900)]
+    texts += texts[:100] + texts[:50]
+    none = pa.nulls(len(texts), pa.int64())
+    batch = pa.RecordBatch.from_arrays([none, none, pa.array(texts)], ["doc_id", "mark", "text"])
+    tracemalloc.start()
+    found = [row for b in jaccard.scanned(Task())(iter([batch])) for row in b.select(["often"]).to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert Counter(x["often"] for x in found) == {None: 4050, 2: 50 * 396, 3: 50 * 396}
+    assert peak < 130e6, peak
+
+
 def test_usual_notices_are_found(documents):
     """Notices as projects write them, none of them equal to a template."""
     notices = {
