@@ -32,7 +32,7 @@ BUCKET_ROWS = 2_000
 #: A worker that remembers more strings than this, some 60 MB, forgets those that the texts at hand don't have.
 CACHE_WORDS = 300_000
 #: Bytes of text encoded at a time.
-SLICE = 2_000_000
+SLICE = 4_000_000
 END = 0
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
