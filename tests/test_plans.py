@@ -73,3 +73,26 @@ def test_narrowed_quantiles_are_exact(spark, monkeypatch, left_rows):
         for c, values in columns.items():
             for p in probs:
                 assert got[c, p] == pytest.approx(np.quantile(values, p), rel=1e-12), (c, p)
+
+
+@pytest.mark.parametrize("many", [0, 10**9])
+@pytest.mark.parametrize("list_rows, share_pairs", [(joins.LIST_ROWS, joins.SHARE_PAIRS), (3, 50)])
+def test_listed_join_is_the_plain_join(spark, skewed, rows, monkeypatch, many, list_rows, share_pairs):
+    monkeypatch.setattr(joins, "MANY_PAIRS", many)
+    monkeypatch.setattr(joins, "LIST_ROWS", list_rows)
+    monkeypatch.setattr(joins, "SHARE_PAIRS", share_pairs)
+    big, other = skewed
+    other = other.union(other.where("k < 4")).union(spark.range(20).selectExpr("CAST(1 AS int) k", "CASE WHEN id % 3 > 0 THEN CONCAT('m', id) END name"))
+    found = joins.listed_join(big, other, ["k"])
+    assert found.columns == ["k", "i", "name"]
+    assert rows(found) == rows(big.join(other, "k"))
+    two = joins.listed_join(big.selectExpr("5 AS one", "*"), other.selectExpr("k % 7 + 2 AS one", "k", "k AS split", "name"), ["one", "k"])
+    assert rows(two, "k", "i", "split", "name") == rows(big.join(other.where("k % 7 = 3"), "k").selectExpr("k", "i", "k AS split", "name"))
+
+
+def test_listed_join_shuffles_once_with_a_constant_key(skewed, monkeypatch):
+    monkeypatch.setattr(joins, "MANY_PAIRS", 0)
+    big, other = skewed
+    found = joins.listed_join(big.selectExpr("5 AS one", "*"), other.selectExpr("CAST(5 AS int) AS one", "*").where("k > 0"), ["one", "k"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "ShuffledHashJoin" in plan and plan.count("REPARTITION_BY_NUM") == 2
